@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readweave.llm import packing
+from readweave.llm import idfile, neardup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op7_near_duplicates": neardup.op7_near_duplicates,
+        "op9_token_ids": idfile.op9_token_ids,
         "op10_packing": packing.op10_packing,
     }
 
