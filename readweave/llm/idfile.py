@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from readweave.llm import text as T
 from readweave.llm.encode import encoder
+from readweave.llm.files import open_file
 from readweave.llm.tables import new_path, stash, table
 
 MAGIC = b"RWIDPLN1"
@@ -156,17 +157,6 @@ class IdReader:
             rest = flat[n:]
 
 
-def open_file(path: str, write: bool = False):
-    """A file of the shared store by its URI, on whichever executor."""
-    from pyarrow import fs
-
-    store, place = fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
-    if write:
-        store.create_dir(place.rpartition("/")[0], recursive=True)
-        return store.open_output_stream(place)
-    return store.open_input_file(place)
-
-
 def write_ids(docs: DataFrame, vocabulary: str, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, bits: bool = False, block: int = BLOCK_IDS) -> DataFrame:
     """Encode all texts into files under `path`, in ascending doc_id order: the manifest (shard, file, docs, ids).
 
