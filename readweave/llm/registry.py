@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readweave.llm import idfile, neardup, packing, substrings
+from readweave.llm import idfile, katz, neardup, packing, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_katz_scores": katz.op3_katz_scores,
         "op4_substring_dedup": substrings.op4_substring_dedup,
         "op7_near_duplicates": neardup.op7_near_duplicates,
         "op9_token_ids": idfile.op9_token_ids,
