@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readweave.llm import idfile, katz, neardup, packing, substrings
+from readweave.llm import idfile, katz, neardup, packing, quality, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_quality_rules": quality.op2_quality_rules,
         "op3_katz_scores": katz.op3_katz_scores,
         "op4_substring_dedup": substrings.op4_substring_dedup,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op7_near_duplicates": neardup.op7_near_duplicates,
         "op9_token_ids": idfile.op9_token_ids,
         "op10_packing": packing.op10_packing,
