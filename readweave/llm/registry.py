@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readweave.llm import idfile, katz, neardup, packing, quality, substrings, toxicity
+from readweave.llm import contamination, idfile, katz, neardup, packing, quality, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontamination": contamination.op1_decontamination,
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_katz_scores": katz.op3_katz_scores,
         "op4_substring_dedup": substrings.op4_substring_dedup,
