@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readweave.llm import contamination, idfile, katz, neardup, packing, quality, substrings, toxicity
+from readweave.llm import contamination, idfile, katz, licenses, neardup, packing, quality, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_katz_scores": katz.op3_katz_scores,
         "op4_substring_dedup": substrings.op4_substring_dedup,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_license_scan": licenses.op6_license_scan,
         "op7_near_duplicates": neardup.op7_near_duplicates,
         "op9_token_ids": idfile.op9_token_ids,
         "op10_packing": packing.op10_packing,
@@ -25,4 +26,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {
+        "op6_license_scan": licenses.ORACLE_SQL,
+    }
