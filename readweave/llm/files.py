@@ -10,5 +10,5 @@ def open_file(path: str, write: bool = False):
     store, place = fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
     if write:
         store.create_dir(place.rpartition("/")[0], recursive=True)
-        return store.open_output_stream(place)
+        return store.open_output_stream(place, compression=None)
     return store.open_input_file(place)

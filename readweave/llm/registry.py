@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readweave.llm import contamination, idfile, katz, licenses, neardup, packing, quality, substrings, toxicity
+from readweave.llm import contamination, idfile, katz, licenses, neardup, packing, quality, substrings, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_license_scan": licenses.op6_license_scan,
         "op7_near_duplicates": neardup.op7_near_duplicates,
+        "op8_warc": warc.op8_warc,
         "op9_token_ids": idfile.op9_token_ids,
         "op10_packing": packing.op10_packing,
     }
@@ -28,4 +29,5 @@ def queries() -> dict[str, Query]:
 def oracles() -> dict[str, str]:
     return {
         "op6_license_scan": licenses.ORACLE_SQL,
+        "op8_warc": warc.ORACLE_SQL,
     }
