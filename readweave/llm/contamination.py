@@ -197,3 +197,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, percent: int = 8
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_SHINGLES = "unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else [array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)] end)"
+ORACLE_SQL = f"""
+with d as (select distinct doc_id, {_SHINGLES} as s from (select doc_id, {_WORDS} as w from documents)),
+b as (select distinct item_id, {_SHINGLES} as s from (select item_id, {_WORDS} as w from benchmark)),
+n as (select item_id, count(*) as item_shingles from b group by 1),
+c as (select doc_id, item_id, count(*) as shared_shingles from d join b using (s) group by all)
+select doc_id, item_id, item_shingles, shared_shingles, shared_shingles::double / item_shingles as containment from c join n using (item_id) where 100 * shared_shingles >= 80 * item_shingles
+"""

@@ -28,6 +28,9 @@ def queries() -> dict[str, Query]:
 
 def oracles() -> dict[str, str]:
     return {
+        "op1_decontamination": contamination.ORACLE_SQL,
+        "op4_substring_dedup": substrings.ORACLE_SQL,
         "op6_license_scan": licenses.ORACLE_SQL,
+        "op7_near_duplicates": neardup.ORACLE_SQL,
         "op8_warc": warc.ORACLE_SQL,
     }

@@ -275,3 +275,14 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+ORACLE_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, i, array_to_string(w[i:i+19], ' ') as g from (select *, unnest(range(1, len(w) - 18)) as i from w)),
+k as (select doc_id, i, row_number() over (partition by g order by doc_id, i) as k from g),
+x as (select distinct doc_id, unnest(range(i, i + 20)) as j from k where k > 1),
+t as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as j from w),
+s as (select t.doc_id, count(x.j) as n_removed, string_agg(word, ' ' order by t.j) filter (x.j is null) as kept from t left join x on t.doc_id = x.doc_id and t.j = x.j group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join s using (doc_id)
+"""
