@@ -89,13 +89,14 @@ def frames(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     extra = {"dict_data": zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(packed))} if packed else {}
     unzip = zstandard.ZstdDecompressor(**extra).decompressobj(read_across_frames=False)
     parts: list[bytes] = []
-    data = b""
+    data, inside = b"", False
     while True:
         if not data:
             data = file.read(1 << 20)
             if not data:
                 break
         parts.append(unzip.decompress(data))
+        inside = not unzip.eof
         if unzip.eof:
             data = unzip.unused_data
             yield parse(b"".join(parts))
@@ -103,7 +104,7 @@ def frames(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
             unzip = zstandard.ZstdDecompressor(**extra).decompressobj(read_across_frames=False)
         else:
             data = b""
-    if any(parts):
+    if inside:
         raise ValueError("a file that was cut short")
 
 
