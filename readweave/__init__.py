@@ -1,0 +1 @@
+"""Reading-aware string comparison, fuzzy matching and training-data operators on Spark DataFrames."""

@@ -9,9 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from readweave.functions.kernels import Lattice, edit_batch, lattice_distance
+from readweave.functions.kernels import Lattice, edit_batch, lattice_distance, lattice_trace
 from readweave.functions.text import Text, _c, apply_cutoff, check_cutoff, similarity_of
 
 
@@ -77,6 +77,38 @@ def lattice_osa(left: pd.Series, right: pd.Series) -> pd.Series:
     return _lattices(left, right, True)
 
 
+STEP = StructType([StructField(x, StringType()) for x in ("op", "left", "right")])
+TRACE = StructType([StructField("distance", IntegerType()), StructField("steps", ArrayType(STEP))])
+
+
+@F.pandas_udf(TRACE)
+def trace_kernel(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    """The distance of two packed lattices with the steps of a best alignment."""
+    rows = []
+    for a, b in zip(left, right):
+        if a is None or b is None:
+            rows.append((None, None))
+            continue
+        d, steps = lattice_trace(Lattice.unpack(a), Lattice.unpack(b))
+        rows.append((d, [dict(zip(("op", "left", "right"), s)) for s in steps]))
+    return pd.DataFrame({"distance": pd.array([r[0] for r in rows], "Int32"), "steps": [r[1] for r in rows]})
+
+
+@F.pandas_udf(StringType())
+def pack_paths(paths: pd.Series) -> pd.Series:
+    """The packed minimal lattice of a path set."""
+    return paths.map(lambda p: None if p is None else Lattice.of_paths(list(p)).pack())
+
+
+def left_of(trace: Column) -> Column:
+    """The left side's path of an alignment."""
+    return F.array_join(F.transform(F.filter(trace["steps"], lambda s: s["left"].isNotNull()), lambda s: s["left"]), "")
+
+
+def right_of(trace: Column) -> Column:
+    return F.array_join(F.transform(F.filter(trace["steps"], lambda s: s["right"].isNotNull()), lambda s: s["right"]), "")
+
+
 def distance_paths(left: Text, right: Text) -> Column:
     return least_distance(checked(left), checked(right))
 

@@ -95,6 +95,16 @@ def compare(df: DataFrame, left: str, right: str, *, lang: str | None = None, le
     return rows.withColumn(out, F.when(error.isNull() & F.col("_lped").isNotNull(), made)).withColumn("error", error).drop("_r0", "_r1", "_lped", "_osa", "_lattice_osa")
 
 
+def align(df: DataFrame, left: str, right: str, *, lang: str | None = None, lexicon: DataFrame | Bundle | None = None, options: Options | None = None, on_error: str = "null", out: str = "trace") -> DataFrame:
+    """Add the struct `out`: the readings' distance, and the steps (op, left, right) of a best alignment."""
+    lang, words, options = resolve(lang, lexicon, options)
+    rows = with_readings(df, [left, right], lang, words, options)
+    error = reading_error("_r0", "_r1", "distance")
+    packed = lambda r: F.coalesce(F.col(r)["lattice"], P.pack_paths(F.col(r)["lattice_paths"]))
+    made = P.trace_kernel(packed("_r0"), packed("_r1"))
+    return rows.withColumn(out, checked_error(made, error, on_error)).withColumn("error", error).drop("_r0", "_r1")
+
+
 def zero_distance_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, *, lang: str, lexicon: DataFrame | Bundle | None = None, options: Options | None = None) -> DataFrame:
     """Pairs of rows that share a spelling: a hash join on spellings instead of the product of both sides.
 

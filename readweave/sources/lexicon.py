@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from readweave.functions import scripts
 from readweave.functions.readings import Options
+from readweave.functions.romaji import fold_width
 
 SCHEMA = T.StructType([T.StructField("surface", T.StringType()), T.StructField("readings", T.ArrayType(T.StringType()))])
 # Columns of the sources, from 0
@@ -105,16 +106,31 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
 
     A file of exceptions is small; it is read on the driver. YAML needs a YAML library.
     """
-    raw = "".join(r["value"] + "\n" for r in spark.read.text(path).collect())
+    return overrides(spark, _yaml_or_json(spark, path))
+
+
+def _yaml_or_json(spark: SparkSession, path: str):
+    raw = "".join(r["value"] + "\n" for r in spark.read.text(path).toLocalIterator())
     try:
-        data = json.loads(raw)
+        return json.loads(raw)
     except ValueError:
         try:
             import yaml
         except ImportError as e:
-            raise LexiconError("YAML overrides need a YAML library; JSON does without") from e
-        data = yaml.safe_load(raw)
-    return overrides(spark, data)
+            raise LexiconError("YAML needs a YAML library; JSON does without") from e
+        return yaml.safe_load(raw)
+
+
+def read_payload(spark: SparkSession, path: str, *, lang: str) -> tuple[DataFrame, str | None]:
+    """A YAML or JSON payload {schema_version: 1, payload_type, [pinyin_view], entries: [{surface, readings}]}: the lexicon
+    and the view. Large lexicons belong into bundles, whose payload is Parquet."""
+    data = _yaml_or_json(spark, path)
+    if not isinstance(data, dict) or data.get("schema_version") != 1 or "payload_type" not in data:
+        raise LexiconError("unknown payload")
+    view = scripts.check_view(data["pinyin_view"]) if lang == "zh" else None
+    lexicon = spark.createDataFrame([(e.get("surface"), e.get("readings")) for e in data.get("entries") or []], SCHEMA)
+    check_lexicon(lexicon, lang)
+    return lexicon, view
 
 
 def overrides(spark: SparkSession, data: dict) -> DataFrame:
@@ -225,6 +241,23 @@ def load_bundle(spark: SparkSession, path: str, *, lang: str | None = None, veri
     return Bundle(lexicon, meta)
 
 
+def list_bundles(spark: SparkSession, root: str) -> list[tuple[str, dict]]:
+    """(path, metadata) of the bundles in a folder, in the order of their names."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    paths = sorted(f.getPath().toString() for f in store.listStatus(folder) if f.isDirectory() and store.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "metadata")))
+    return [(p, json.loads(spark.read.text(f"{p}/metadata").first()["value"])) for p in paths]
+
+
+def lookup(lexicon: DataFrame, surface: str, lang: str = "ja") -> list[str] | None:
+    """Readings of one surface; in Japanese, of its plain-width form if it has none."""
+    found = {r["surface"]: r["readings"] for r in lexicon.where(F.col("surface").isin(surface, fold_width(surface) if lang == "ja" else surface)).collect()}
+    return found.get(surface) or (found.get(fold_width(surface)) if lang == "ja" else None)
+
+
 def file_digest(path: str) -> str:
     with open(path, "rb") as f:
         return hashlib.file_digest(f, "sha256").hexdigest()

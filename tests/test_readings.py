@@ -243,3 +243,34 @@ def test_bundles(spark, tmp_path, ja, zh):
     L.clear_default()
     assert L.get_default("zh") is None
     assert score(df.select("l", "r", F.lit(1).alias("text")), "l", "r", lang="zh", lexicon=zh).count() == 1
+
+
+def test_alignment_steps(spark, ja):
+    from readweave.functions import paths as P
+    from readweave.operators.scoring import align
+
+    df = spark.createDataFrame([("いんさt", "印刷"), ("未", "a")], "l string, r string")
+    got = {r["l"]: r for r in align(df, "l", "r", lang="ja", lexicon=ja, options=JA_OPTIONS).select("l", "trace", "error", P.left_of(F.col("trace")).alias("a"), P.right_of(F.col("trace")).alias("b")).collect()}
+    r = got["いんさt"]
+    assert r["trace"]["distance"] == 1 and r["b"] == r["a"] + "u" and sum(s["op"] != "match" for s in r["trace"]["steps"]) == 1
+    assert got["未"]["trace"] is None and got["未"]["error"]
+
+
+def test_payloads_lookups_and_lists(spark, tmp_path, ja):
+    (tmp_path / "p.json").write_text('{"schema_version": 1, "payload_type": "x", "pinyin_view": "no-tone", "entries": [{"surface": "威士忌", "readings": ["weishiji"]}]}', encoding="utf-8")
+    lex, view = L.read_payload(spark, str(tmp_path / "p.json"), lang="zh")
+    assert view == "no-tone" and L.lookup(lex, "威士忌", "zh") == ["weishiji"] and L.lookup(ja, "ＷＨＩＳＫＹ") == ["ウイスキー"] and L.lookup(ja, "x") is None
+    (tmp_path / "q.json").write_text('{"schema_version": 2}', encoding="utf-8")
+    with pytest.raises(L.LexiconError):
+        L.read_payload(spark, str(tmp_path / "q.json"), lang="ja")
+    L.save_bundle(ja, str(tmp_path / "all" / "one"), lang="ja", name="one")
+    assert [m["name"] for _, m in L.list_bundles(spark, str(tmp_path / "all"))] == ["one"] and L.list_bundles(spark, str(tmp_path / "none")) == []
+
+
+def test_graphviz():
+    from readweave.operators.graphviz import lattice_dot, pair_dot
+
+    assert "digraph" in lattice_dot("チャ", "ja")
+    text = pair_dot("いんさt", "印刷", "ja", JA)
+    assert text.index("印刷") < text.index("いんさt") and text.count("color=red") == 11
+    assert "digraph" in pair_dot("weishiji", "威士忌", "zh", ZH)
