@@ -101,7 +101,7 @@ def align(df: DataFrame, left: str, right: str, *, lang: str | None = None, lexi
     rows = with_readings(df, [left, right], lang, words, options)
     error = reading_error("_r0", "_r1", "distance")
     packed = lambda r: F.coalesce(F.col(r)["lattice"], P.pack_paths(F.col(r)["lattice_paths"]))
-    made = P.trace_kernel(packed("_r0"), packed("_r1"))
+    made = F.when(packed("_r0").isNotNull() & packed("_r1").isNotNull(), P.trace_kernel(packed("_r0"), packed("_r1")))
     return rows.withColumn(out, checked_error(made, error, on_error)).withColumn("error", error).drop("_r0", "_r1")
 
 
