@@ -34,8 +34,15 @@ def features(docs: T.Docs) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield T.mix(T.hashes(docs, T.Words(words.start[long], end, words.first), T.LOWER) + np.uint64(n)), doc[long]
 
 
-def tallies(docs: T.Docs, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, feature, count), the features as hashes, or as places in the sorted hashes `known`."""
+#: Buckets of features in the first pass of a fit
+BUCKETS = 1 << 22
+#: Bytes of the sample that a fit takes at a time
+FIT_SLICE = 500_000
+
+
+def tallies(docs: T.Docs, known: np.ndarray | None = None, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, feature, count), the features as hashes, or as places in the sorted hashes `known`. `among` marks the
+    buckets of features that count."""
     keys, owners = [], []
     if known is not None:
         small = np.zeros(1 << 20, bool)
@@ -48,6 +55,9 @@ def tallies(docs: T.Docs, known: np.ndarray | None = None) -> tuple[np.ndarray,
             at[at == len(known)] = 0
             hit = known[at] == h if len(known) else np.zeros(len(h), bool)
             h, doc = at[hit].astype(np.uint64), doc[hit]
+        if among is not None:
+            use = among[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
+            h, doc = h[use], doc[use]
         keys.append(h)
         owners.append(doc)
     h, doc = np.concatenate(keys), np.concatenate(owners)
@@ -90,18 +100,36 @@ def fit_ordinal(texts: list[str], toxic: np.ndarray, weight: np.ndarray, *, most
     """
     if not len(texts) or len(set(toxic.tolist())) < 2:
         return NEVER
-    doc, h, n = tallies(T.docs_of(pa.array(texts, pa.large_string())))
+    docs = T.docs_of(pa.array(texts, pa.large_string()))
     y = toxic.astype(bool)
-    one, where = np.unique(h, return_inverse=True)
     w = weight / weight.sum()
-    a = np.bincount(where, y[doc], len(one))  # toxic documents with the feature
-    wa, wb = (np.bincount(where, (w * m)[doc], len(one)) for m in (y, ~y))
     pa_, pb = w[y].sum(), w[~y].sum()
     total = len(texts)
-    # chi-square of the feature's presence against the label, at the labels' own proportions
-    cross = wa * (pb - wb) - wb * (pa_ - wa)
-    seen = wa + wb
-    chi = total * cross**2 / np.maximum(seen * (1 - seen) * pa_ * pb, 1e-12)
+
+    def association(wa: np.ndarray, wb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chi-square of presence against the label, at the labels' own proportions, and which side it speaks for."""
+        cross = wa * (pb - wb) - wb * (pa_ - wa)
+        seen = wa + wb
+        return total * cross**2 / np.maximum(seen * (1 - seen) * pa_ * pb, 1e-12), cross
+
+    # first in buckets of features, in memory that doesn't follow the sample; then the features of likely buckets
+    counts = np.zeros((3, BUCKETS), np.float32)
+    for at, to, part in T.slices(docs, FIT_SLICE):
+        doc, h, _ = tallies(part)
+        b = (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+        for i, x in enumerate((y.astype(float), w * y, w * ~y)):
+            counts[i] += np.bincount(b, x[at:to][doc], BUCKETS)
+    chi, cross = association(counts[1], counts[2])
+    among = (counts[0] >= 3) & (cross > 0) & (chi > CHI / 4)
+    parts = []
+    for at, _, part in T.slices(docs, FIT_SLICE):
+        doc, h, n = tallies(part, among=among)
+        parts.append((doc + at, h, n))
+    doc, h, n = (np.concatenate(x) for x in zip(*parts))
+    one, where = np.unique(h, return_inverse=True)
+    a = np.bincount(where, y[doc], len(one))  # toxic documents with the feature
+    wa, wb = (np.bincount(where, (w * m)[doc], len(one)) for m in (y, ~y))
+    chi, cross = association(wa, wb)
     pick = np.flatnonzero((a >= 3) & (cross > 0) & (chi > CHI))
     pick = np.sort(pick[np.argsort(-chi[pick], kind="stable")[:most]])
     known = one[pick]
@@ -138,7 +166,7 @@ def fit_ordinal(texts: list[str], toxic: np.ndarray, weight: np.ndarray, *, most
     return Ordinal(known, beta * odds, theta + np.concatenate([[0], np.cumsum(np.exp(gap))]))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, toxic_docs: int = 3000, clean_docs: int = 5000, doc_id: str = "doc_id", text: str = "text") -> Ordinal:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, toxic_docs: int = 2000, clean_docs: int = 4000, doc_id: str = "doc_id", text: str = "text") -> Ordinal:
     """Fit on at most `toxic_docs` toxic and `clean_docs` clean documents, weighted to the labels' own proportions."""
     got = labelled(docs, labels, "toxic", {1: toxic_docs, 0: clean_docs}, doc_id=doc_id, text=text)
     counts = {r["toxic"]: r["count"] for r in labels.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
