@@ -15,7 +15,7 @@ from readweave.llm import text as T
 from readweave.llm.tables import table
 
 #: Bins of a one-permutation MinHash sketch: the leading bits of a hash name its bin
-BINS = 128
+BINS = 512
 #: Characters of items that go with one scan of the documents
 BLOCK_CHARS = 8_000_000
 _FOLD = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -87,7 +87,7 @@ def candidates(index: Index, docs: T.Docs) -> np.ndarray:
     n = np.diff(first)
     out = []
     for c, (values, items) in index.values.items():
-        width = 2 * c
+        width = 2 * c if c > 1 else 1  # one shingle is compared by itself
         blocks = np.where(n > 0, np.maximum(-(-(n - c) // c), 1), 0)
         doc = np.repeat(np.arange(len(n)), blocks)
         step = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -151,7 +151,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, percent: int = 80, sh
     `percent` % at least.
 
     Items go to the executors in blocks of bounded size, one scan of the documents a block. A document that holds an item
-    to that part misses all common minima with a probability under 0.001 for the smallest sets and far less above.
+    to that part shares no minimum with a probability under 0.0001, for the smallest sets, and far less for others.
     Null or empty texts hold nothing and are held by nothing; an item under `shingle` words is one shingle, its whole
     sequence, which only an equal text has. Repeated documents give repeated pairs; null ids are kept.
     """

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from readweave.llm import text as T
 from readweave.llm.graph import components
-from readweave.llm.tables import stash, table, unstash
+from readweave.llm.tables import stash, table
 
 SKETCH_BITS = 512
 BAND_ROWS = 5

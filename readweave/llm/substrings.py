@@ -12,7 +12,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 from readweave.llm import text as T
-from readweave.llm.chunks import bucket_cuts, chunked, load, load_row, spread, words_and_hashes
+from readweave.llm.chunks import CHUNK_BYTES, bucket_cuts, chunked, load, load_row, spread, words_and_hashes
 from readweave.llm.tables import buckets, stash, table
 
 WINDOW = 20
@@ -203,7 +203,7 @@ def span_hashes(docs: T.Docs, doc: np.ndarray, start: np.ndarray, words: np.ndar
     return T.mix((total[a + words] - total[a]) * T.powers(1, len(h), True)[a])
 
 
-def remove_repeats(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", digest: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Documents without the words of windows (of `window` consecutive words) that start earlier in the corpus: in a
     document with a smaller doc_id, or earlier in the same one. Windows are judged on the input.
 
@@ -218,7 +218,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_
     """
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")) if digest else docs
     key, body = ("doc_id", "text") if digest else (doc_id, text)
-    chunks = chunked(rows, body)
+    chunks = chunked(rows, body, chunk_bytes)
     spans = stash(repeated_spans(docs, chunks, key, body, window), "spans")
 
     def at_source(own: pa.Table, asked: pa.Table) -> pa.Table:

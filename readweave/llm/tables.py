@@ -17,8 +17,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; `clear` deletes what is there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that the operators wrote in this process: results that are still lazy can't be read after."""
+    while _written:
+        _delete(spark, _written.pop())
 
 
 def stash(df: DataFrame, name: str, *parts: str) -> DataFrame:
@@ -33,10 +50,8 @@ def stash(df: DataFrame, name: str, *parts: str) -> DataFrame:
 def unstash(*tables: DataFrame) -> None:
     """Delete stashed tables that no plan reads any more."""
     for df in tables:
-        for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            jvm = df.sparkSession.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

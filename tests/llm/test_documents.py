@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from readweave.llm import contamination, idfile, katz, licenses, neardup, packing, quality, substrings
-from readweave.llm.tables import new_path
+from readweave.llm.tables import clear, new_path, stash
 
 
 def rows(df):
@@ -358,3 +358,13 @@ def test_licenses(spark):
     assert licenses.license_scan(corpus.empty(spark))[0].count() == 0
     twice = licenses.license_scan(spark.createDataFrame([(None, some[0]), (7, some[0]), (7, "x")], "doc_id long, text string"))[0]
     assert sorted((r["doc_id"] or 0, r["n_base"]) for r in twice.collect()) == [(0, 1), (7, 0), (7, 1)]
+
+
+def test_written_tables_are_cleared(spark, tmp_path):
+    import os
+
+    df = stash(spark.range(3).toDF("x"), "some")
+    folder = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert df.count() == 3 and os.path.exists(folder)
+    clear(spark)
+    assert not os.path.exists(folder)
