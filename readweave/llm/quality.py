@@ -29,7 +29,7 @@ _LINE = np.zeros(256, bool)
 _LINE[10] = True
 FEATURES = 10
 #: Lines of a training document that take part
-TRAINING_LINES = 200
+TRAINING_LINES = 64
 
 
 @dataclass
@@ -139,10 +139,11 @@ class Crf:
 PRIOR = Crf(np.array([[0.0, 0.0]] + [[w / 2, -w / 2] for w in (2.0, 2.0, 1.0, -0.5, -0.5, 1.0, 2.0, 0.5, 0.0)]), np.array([[0.5, -0.5], [-0.5, 0.5]]))
 
 
-def fit_crf(texts: list[str], content: np.ndarray, *, rounds: int = 200, penalty: float = 0.01) -> Crf:
+def fit_crf(texts: list[str], content: np.ndarray, *, rounds: int = 100, penalty: float = 1e-3, move_penalty: float = 0.1) -> Crf:
     """Maximise the conditional likelihood of line labels by forward-backward gradients (Adam, fixed rounds).
 
-    A document's quality label stands for each of its lines.
+    A document's quality label stands for each of its lines. Such labels never change within a document, so transitions
+    are held back more than emissions: else lines at a document's ends would decide over all between them.
     """
     if not len(texts) or len(set(content.tolist())) < 2:
         return PRIOR
@@ -187,7 +188,7 @@ def fit_crf(texts: list[str], content: np.ndarray, *, rounds: int = 200, penalty
         p = np.exp(forward + backward - z[:, None, None]) * alive[..., None]
         diff = (gold * alive[..., None] - p) * weight[..., None]
         g_emit = np.einsum("dtf,dtc->fc", x, diff) - penalty * emit
-        g_move = -penalty * move
+        g_move = -move_penalty * move
         if longest > 1:
             pair = forward[:, :-1, :, None] + move[None, None] + (s[:, 1:] + backward[:, 1:])[:, :, None]
             pair = np.exp(pair - z[:, None, None, None]) * alive[:, 1:, None, None]

@@ -20,7 +20,7 @@ ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 SAME = np.arange(256, dtype=np.uint8)
 LOWER = SAME.copy()
 LOWER[65:91] += 32
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 U = np.uint64
 _SEEDS = np.random.default_rng(20240601)
@@ -44,13 +44,32 @@ def powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
     key = which, inverse
     if (p := _POWERS.get(key)) is None or len(p) <= n:
         base = _BASE[which] if not inverse else pow(_BASE[which], -1, 2**64)
-        size = max(2 * SLICE_BYTES, 2 * n)
+        size = max(SLICE_BYTES + 100_000, n)
         steps = np.full(size + 1, base, np.uint64)
         steps[0] = 1
         _POWERS[key] = p = np.multiply.accumulate(steps)
     return p[: n + 1]
 
 
+def _trimmer():
+    """glibc's malloc_trim, where there is one."""
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+_trim = _trimmer()
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 @dataclass
 class Docs:
     """Texts as one buffer; document i is data[offsets[i]:offsets[i+1]]."""
@@ -89,6 +108,7 @@ def slices(docs: Docs, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, Docs
         off = docs.offsets[at : to + 1]
         yield at, to, Docs(docs.data[off[0] : off[-1]], off - off[0])
         at = to
+    release()
 
 
 @dataclass
