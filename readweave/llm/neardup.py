@@ -91,43 +91,50 @@ def sketches(docs: DataFrame, similarity: float, *, doc_id: str = "doc_id", text
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary")
 
 
-def linked(sets: list[np.ndarray], words: np.ndarray, percent: int, most_odd: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the confirmed links between members at `left` and at `right` (indices into `sets`).
+class Forest:
+    """Union-find over the members of two blocks, with their sets and sketches."""
 
-    Pairs within the sketches' distance are confirmed on the full sets, nearest first; a pair that earlier links already
-    join is not needed for the components.
-    """
-    parent = list(range(len(sets)))
+    def __init__(self, sets: list[np.ndarray], words: np.ndarray, percent: int, most_odd: int) -> None:
+        self.sets, self.words, self.percent, self.most_odd = sets, words, percent, most_odd
+        self.sizes = np.array([len(s) for s in sets])
+        self.parent = list(range(len(sets)))
 
-    def root(x: int) -> int:
+    def root(self, x: int) -> int:
+        parent = self.parent
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    sizes = np.array([len(s) for s in sets])
-    odd = np.bitwise_count(words[left][:, None, :] ^ words[right][None, :, :]).sum(-1)
-    low, high = np.minimum(sizes[left][:, None], sizes[right][None, :]), np.maximum(sizes[left][:, None], sizes[right][None, :])
-    near = (odd <= most_odd) & (100 * low >= percent * high)
-    if left is right or np.array_equal(left, right):
-        near &= left[:, None] < right[None, :]
-    i, j = np.nonzero(near)
-    out = []
-    for n in np.argsort(odd[i, j], kind="stable"):
-        a, b = int(left[i[n]]), int(right[j[n]])
-        ra, rb = root(a), root(b)
-        if ra == rb:
-            continue
-        x, y = sets[a], sets[b]
+    def confirmed(self, a: int, b: int) -> bool:
+        x, y = self.sets[a], self.sets[b]
         if len(x) > len(y):
             x, y = y, x
         at = np.searchsorted(y, x)
         at[at == len(y)] = 0
         both = int((y[at] == x).sum())
-        if 100 * both >= percent * (len(x) + len(y) - both):
-            out.append((a, b))
-            parent[ra] = rb
-    return out
+        return 100 * both >= self.percent * (len(x) + len(y) - both)
+
+    def link(self, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        """Join members at `left` with members at `right`: the confirmed links that joined two trees.
+
+        Pairs within the sketches' distance are confirmed on the full sets, nearest first; a pair that earlier links
+        already join is not needed for the components.
+        """
+        odd = np.bitwise_count(self.words[left][:, None, :] ^ self.words[right][None, :, :]).sum(-1)
+        low, high = (f(self.sizes[left][:, None], self.sizes[right][None, :]) for f in (np.minimum, np.maximum))
+        near = (odd <= self.most_odd) & (100 * low >= self.percent * high)
+        if left is right:
+            near &= left[:, None] < right[None, :]
+        i, j = np.nonzero(near)
+        out = []
+        for n in np.argsort(odd[i, j], kind="stable"):
+            a, b = int(left[i[n]]), int(right[j[n]])
+            ra, rb = self.root(a), self.root(b)
+            if ra != rb and self.confirmed(a, b):
+                out.append((a, b))
+                self.parent[ra] = rb
+        return out
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
@@ -178,8 +185,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id
         nodes = group["node"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
         words = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(len(nodes), -1)
-        left = np.flatnonzero(block == i)
-        got = linked(sets, words, percent, most_odd, left, left if i == j else np.flatnonzero(block == j))
+        forest = Forest(sets, words, percent, most_odd)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        got = forest.link(left, left)
+        if i != j:
+            # links within each block leave the task of that block alone; here they save links across
+            forest.link(right, right)
+            got = forest.link(left, right)
         return pa.table({"a": pa.array([int(nodes[x]) for x, _ in got], pa.int64()), "b": pa.array([int(nodes[y]) for _, y in got], pa.int64())})
 
     links = dealt.groupBy("component", "i", "j").applyInArrow(compare, "a long, b long")
