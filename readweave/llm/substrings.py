@@ -221,14 +221,19 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_
     chunks = chunked(rows, body, chunk_bytes)
     spans = stash(repeated_spans(docs, chunks, key, body, window), "spans")
 
+    origin = ["source_chunk", "source_doc", "source_start", "size"]
+
     def at_source(own: pa.Table, asked: pa.Table) -> pa.Table:
         if not own.num_rows or not asked.num_rows:
-            return pa.table({k: pa.array([], pa.int64()) for k in ("chunk", "doc", "start", "words", "hash")})
+            return pa.table({k: pa.array([], pa.int64()) for k in [*origin, "hash"]})
         words = asked["size"].to_numpy() + window - 1
         h = span_hashes(T.docs_of(load_row(own)[body]), asked["source_doc"].to_numpy(), asked["source_start"].to_numpy(), words)
-        return pa.table({"chunk": asked["chunk"], "doc": asked["doc"], "start": asked["start"], "words": pa.array(words), "hash": pa.array(T.signed(h))})
+        return pa.table({**{k: asked[k] for k in origin}, "hash": pa.array(T.signed(h))})
 
-    checked = chunks.groupBy("chunk").cogroup(spans.groupBy("source_chunk")).applyInArrow(at_source, "chunk long, doc long, start long, words long, hash long")
+    # many copies have one source span: its hash is taken once, and joined to them
+    asked = spans.select(*origin).distinct()
+    hashed = chunks.groupBy("chunk").cogroup(asked.groupBy("source_chunk")).applyInArrow(at_source, ", ".join(f"{k} long" for k in [*origin, "hash"]))
+    checked = spans.join(hashed, origin).selectExpr("chunk", "doc", "start", f"size + {window - 1} as words", "hash")
 
     def cut(own: pa.Table, got: pa.Table) -> pa.Table:
         data = load_row(own)
