@@ -87,8 +87,9 @@ def candidates(index: Index, docs: T.Docs) -> np.ndarray:
     n = np.diff(first)
     out = []
     for c, (values, items) in index.values.items():
-        width = 2 * c if c > 1 else 1  # one shingle is compared by itself
-        blocks = np.where(n > 0, np.maximum(-(-(n - c) // c), 1), 0)
+        # one shingle is compared by itself, so each place is a block
+        width = 2 * c if c > 1 else 1
+        blocks = np.where(n > 0, np.maximum(-(-(n - c) // c), 1), 0) if c > 1 else n
         doc = np.repeat(np.arange(len(n)), blocks)
         step = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         start = first[doc] + step * c

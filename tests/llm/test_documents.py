@@ -47,6 +47,17 @@ def test_contamination(spark, docs):
     assert contamination.contaminated(docs, bench.limit(0)).count() == 0 and contamination.contaminated(corpus.empty(spark), bench).count() == 0
 
 
+@pytest.mark.parametrize("more", [0, 1, 2, 7])
+def test_contamination_by_items_of_one_shingle(spark, more):
+    item, filler = "one two three four five", [f"w{i}" for i in range(more)]
+    some = [" ".join(filler[:i] + item.split() + filler[i:]) for i in range(more + 1)] + ["two three four five six", " ".join(filler)]
+    docs = corpus.frame(spark, [*some, "x " * 4 + "y " * 9])
+    bench = spark.createDataFrame([(0, item), (1, "y y y y y y y")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["item_shingles"], r["shared_shingles"]) for r in contamination.contaminated(docs, bench).collect()}
+    assert got == {(i, 0, 1, 1) for i in range(more + 1)} | {(len(some), 1, 1, 1)}
+    assert {r["doc_id"] for r in contamination.drop_contaminated(docs, bench).collect()} == {more + 1, more + 2}
+
+
 def quality_counts(t):
     t = t or ""
     w = corpus.words(t)
