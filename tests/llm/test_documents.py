@@ -166,6 +166,12 @@ def test_katz(docs, order, least):
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score, rel=1e-6, abs=1e-6)
 
 
+def test_katz_query_counts_all_trigrams(docs, tmp_path):
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got, want = rows(katz.op3_katz_scores(docs.sparkSession, str(tmp_path))), brute_katz(corpus.texts(), 3, (1, 1, 1))
+    assert {i: r["score"] for i, r in got.items()} == {i: pytest.approx(x[0], rel=1e-6, abs=1e-6) for i, x in want.items()}
+
+
 def test_katz_of_little(spark):
     assert katz.katz_scores(corpus.empty(spark)).count() == 0
     got = katz.katz_scores(spark.createDataFrame([(None, None), (5, "a"), (5, "a")], "doc_id long, text string")).collect()
