@@ -28,8 +28,6 @@ _CLOSE[list(b".?;:")] = True
 _LINE = np.zeros(256, bool)
 _LINE[10] = True
 FEATURES = 10
-#: Lines of a training document that take part
-TRAINING_LINES = 64
 
 
 @dataclass
@@ -139,9 +137,20 @@ class Crf:
 PRIOR = Crf(np.array([[0.0, 0.0]] + [[w / 2, -w / 2] for w in (2.0, 2.0, 1.0, -0.5, -0.5, 1.0, 2.0, 0.5, 0.0)]), np.array([[0.5, -0.5], [-0.5, 0.5]]))
 
 
-def fit_crf(texts: list[str], content: np.ndarray, *, rounds: int = 100, penalty: float = 1e-3, move_penalty: float = 0.1) -> Crf:
+def line_limit(n: np.ndarray, most: int) -> int:
+    """The largest limit for each document such that min(n, limit) add up to `most` at most (1 at least)."""
+    low, high = 1, max(int(n.max(initial=1)), 1)
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if np.minimum(n, mid).sum() <= most else (low, mid - 1)
+    return low
+
+
+def fit_crf(texts: list[str], content: np.ndarray, *, lines: int = 200_000, rounds: int = 100, penalty: float = 1e-3, move_penalty: float = 0.1) -> Crf:
     """Maximise the conditional likelihood of line labels by forward-backward gradients (Adam, fixed rounds).
 
+    All lines take part, up to `lines` in all; beyond, the documents with most lines have as many as fit, spread evenly
+    from their first to their last.
     A document's quality label stands for each of its lines. Such labels never change within a document, so transitions
     are held back more than emissions: else lines at a document's ends would decide over all between them.
     """
@@ -150,50 +159,54 @@ def fit_crf(texts: list[str], content: np.ndarray, *, rounds: int = 100, penalty
     docs = T.docs_of(pa.array(texts, pa.large_string()))
     xs, ys = [], []
     for at, to, part in T.slices(docs):
-        _, lines = measure(part)
+        _, own = measure(part)
         for i in range(to - at):
-            f = lines.features[lines.first[i] : lines.first[i + 1]][:TRAINING_LINES]
+            f = own.features[own.first[i] : own.first[i + 1]]
             if len(f):
                 xs.append(f)
                 ys.append(int(content[at + i]))
     if not xs:
         return PRIOR
+    limit = line_limit(np.array([len(x) for x in xs]), lines)
+    xs = [x if len(x) <= limit else x[np.linspace(0, len(x) - 1, limit).round().astype(np.int64)] for x in xs]
     order = np.argsort([-len(x) for x in xs], kind="stable")
     xs, y = [xs[i] for i in order], np.array([ys[i] for i in order])
     n = np.array([len(x) for x in xs])
     longest = int(n[0])
-    x = np.zeros((len(xs), longest, FEATURES))
-    for i, f in enumerate(xs):
-        x[i, : len(f)] = f
-    alive = np.arange(longest)[None] < n[:, None]
+    # line t of all documents that have one, then line t + 1: documents go from long to short, so a step's are the first ones
+    active = np.searchsorted(-n, -np.arange(1, longest + 1), "right")
+    at = np.concatenate([[0], np.cumsum(active)])
+    doc = np.arange(at[-1]) - np.repeat(at[:-1], active)
+    x = np.concatenate(xs)[(np.cumsum(n) - n)[doc] + np.repeat(np.arange(longest), active)]
+    steps = [(slice(at[t - 1], at[t - 1] + active[t]), slice(at[t], at[t + 1])) for t in range(1, longest)]
+    follows = slice(at[1], None)  # lines that have one before them
+    before = np.arange(at[1], at[-1]) - np.repeat(active[:-1], active[1:])
+    last_line = at[n - 1] + np.arange(len(xs))
     share = 1 / np.bincount(y, minlength=2)  # both kinds of documents weigh the same
-    weight = (share[y] / n / 2)[:, None]
-    gold = np.zeros((len(xs), longest, 2))
-    gold[np.arange(len(xs)), :, y] = 1
+    weight = (share[y] / n / 2)[doc][:, None]
+    gold = np.zeros((len(x), 2))
+    gold[np.arange(len(x)), y[doc]] = 1
     emit, move = np.zeros((FEATURES, 2)), np.zeros((2, 2))
     moments = [np.zeros_like(p) for p in (emit, emit, move, move)]
     add = np.logaddexp
     for step in range(1, rounds + 1):
         s = x @ emit
-        forward, backward = np.zeros_like(s), np.zeros_like(s)
-        forward[:, 0] = s[:, 0]
-        for t in range(1, longest):
-            ways = forward[:, t - 1, :, None] + move[None]
-            forward[:, t] = s[:, t] + add(ways[:, 0], ways[:, 1])
-        for t in range(longest - 2, -1, -1):
-            ways = move[None] + (s[:, t + 1] + backward[:, t + 1])[:, None]
-            backward[:, t] = np.where(alive[:, t + 1, None], add(ways[..., 0], ways[..., 1]), 0)
-        last = forward[np.arange(len(xs)), n - 1]
-        z = add(last[:, 0], last[:, 1])
-        p = np.exp(forward + backward - z[:, None, None]) * alive[..., None]
-        diff = (gold * alive[..., None] - p) * weight[..., None]
-        g_emit = np.einsum("dtf,dtc->fc", x, diff) - penalty * emit
+        forward, backward = s.copy(), np.zeros_like(s)
+        for a, b in steps:
+            ways = forward[a, :, None] + move[None]
+            forward[b] += add(ways[:, 0], ways[:, 1])
+        for a, b in reversed(steps):
+            ways = move[None] + (s[b] + backward[b])[:, None]
+            backward[a] = add(ways[..., 0], ways[..., 1])
+        z = add(forward[last_line, 0], forward[last_line, 1])[doc]
+        p = np.exp(forward + backward - z[:, None])
+        diff = (gold - p) * weight
+        g_emit = x.T @ diff - penalty * emit
         g_move = -move_penalty * move
         if longest > 1:
-            pair = forward[:, :-1, :, None] + move[None, None] + (s[:, 1:] + backward[:, 1:])[:, :, None]
-            pair = np.exp(pair - z[:, None, None, None]) * alive[:, 1:, None, None]
-            both = gold[:, :-1, :, None] * gold[:, 1:, None] * alive[:, 1:, None, None]
-            g_move = g_move + ((both - pair) * weight[..., None, None]).sum((0, 1))
+            pair = np.exp(forward[before, :, None] + move[None] + (s[follows] + backward[follows])[:, None] - z[follows, None, None])
+            both = gold[before, :, None] * gold[follows, None]
+            g_move = g_move + ((both - pair) * weight[follows, :, None]).sum(0)
         for i, (param, grad) in enumerate(((emit, g_emit), (move, g_move))):
             m, v = moments[2 * i], moments[2 * i + 1]
             m *= 0.9
@@ -204,10 +217,11 @@ def fit_crf(texts: list[str], content: np.ndarray, *, rounds: int = 100, penalty
     return Crf(emit, move)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, sample: int = 1500, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> Crf:
-    """Fit on at most `sample` documents of each label value (see `labelled` for which)."""
-    got: pd.DataFrame = labelled(docs, labels, label, {0: sample, 1: sample}, doc_id=doc_id, text=text)
-    return fit_crf(got["text"].tolist(), got["label"].to_numpy())
+def fit_quality(docs: DataFrame, labels: DataFrame, *, sample: int = 1500, lines: int = 200_000, chars: int = 20_000, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> Crf:
+    """Fit on at most `sample` documents of each label value, of at most `chars` characters (see `labelled` for which),
+    and at most `lines` of their lines in all (see `fit_crf`)."""
+    got: pd.DataFrame = labelled(docs, labels, label, {0: sample, 1: sample}, doc_id=doc_id, text=text, chars=chars)
+    return fit_crf(got["text"].tolist(), got["label"].to_numpy(), lines=lines)
 
 
 VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"

@@ -9,10 +9,12 @@ import zlib
 import corpus
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from readweave.llm import contamination, idfile, katz, licenses, neardup, packing, quality, substrings
+from readweave.llm import text as T
 from readweave.llm.tables import clear, new_path, stash
 
 
@@ -109,6 +111,21 @@ def test_crf_learns(spark):
     assert quality.fit_crf([], np.zeros(0)) is quality.PRIOR and quality.fit_crf(good, np.ones(20)) is quality.PRIOR
 
 
+def test_crf_learns_from_the_ends_of_long_texts(spark):
+    plain = "\n".join(f"The quick words of line {i} are plain." for i in range(90))
+    texts, y = [plain, plain + "\nBUY!! NOW!! $$$ CHEAP!!" * 40] * 10, np.array([1, 0] * 10)
+    all_lines, fewer = quality.fit_crf(texts, y), quality.fit_crf(texts, y, lines=600)
+    shout = quality.measure(T.docs_of(pa.array(["BUY!! NOW!! $$$ CHEAP!!"])))[1].features
+    for crf in (all_lines, fewer):
+        assert (shout @ crf.emit)[0, 0] > (shout @ crf.emit)[0, 1] + 1
+    n = np.array([5, 0, 90, 130])
+    assert [quality.line_limit(n, most) for most in (1000, 225, 105, 2)] == [130, 130, 50, 1]
+    docs = corpus.frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    assert np.allclose(quality.fit_quality(docs, labels, lines=600).emit, fewer.emit)
+    assert quality.fit_quality(docs, labels, chars=10) is quality.PRIOR
+
+
 def brute_katz(some, order, least):
     toks = {i: ["<s>"] * (order - 1) + corpus.words(t, True) + [None] for i, t in enumerate(some)}
     count = [collections.Counter() for _ in range(order + 1)]
