@@ -89,13 +89,16 @@ def level(windows: list[list[Piece]], capacity: int) -> tuple[list[list[Piece]],
 def fill(pieces: list[Piece], capacity: int) -> tuple[list[list[Piece]], list[Piece]]:
     """Full windows of the pieces (each at most `capacity` long), and the pieces left over, less than a window's worth.
 
-    The window count starts at what the tokens fill and rises while capacity is exceeded.
+    The window count starts at what the pieces need at least (by their tokens, and as a window has room for no more than
+    j of those over 1/(j+1) of the capacity) and rises while a window of the differencing exceeds the capacity. `level`
+    then fills the windows that have room.
     """
-    total = sum(p[2] for p in pieces)
-    count = total // capacity
-    while count * capacity < total:
+    sizes = [p[2] for p in pieces]
+    count = max(-(-sum(sizes) // capacity), *(-(-sum((j + 1) * n > capacity for n in sizes) // j) for j in range(1, 9)))
+    parts = differencing(sizes, count)
+    while any(sum(sizes[i] for i in part) > capacity for part in parts):
         count += 1
-    parts = differencing([p[2] for p in pieces], count)
+        parts = differencing(sizes, count)
     return level([[pieces[i] for i in part] for part in parts], capacity)
 
 
@@ -125,10 +128,11 @@ def pack(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str
     """Pieces of documents in windows of at most `capacity` ids.
 
     A document's ids are those of its text (null: empty) and `end_id`. Full windows are cut from long documents; the rests
-    of a block of about `block_tokens` ids are dealt to windows by `differencing`, and what a window holds beyond its
-    capacity is cut and fills others. The last rests of a partition make windows whose lengths are powers of two, so no
-    window needs padding. Windows never span partitions: the plan is one scan without a shuffle, and a lost task is
-    repeated on its own. Rows with a null or repeated doc_id are packed like others; an empty table gives no rows.
+    of a block of about `block_tokens` ids are dealt by `differencing` to as many windows as keep each within its
+    capacity, and windows that have room are filled with cuts of the lightest ones. The last rests of a partition make
+    windows whose lengths are powers of two, so no window needs padding. Windows never span partitions: the plan is one
+    scan without a shuffle, and a lost task is repeated on its own. Rows with a null or repeated doc_id are packed like
+    others; an empty table gives no rows.
     `with_ids` adds each piece's ids as little-endian unsigned 32-bit integers.
     """
     kind = dict(docs.dtypes)[doc_id]

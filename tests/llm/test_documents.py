@@ -366,6 +366,20 @@ def test_fill_leaves_no_room():
     assert all(sum(p[2] for p in w).bit_count() == 1 for w in packing.powers_of_two(rest))
 
 
+def test_fill_takes_more_windows_while_one_is_too_full(monkeypatch):
+    r, level, handed = np.random.default_rng(6), packing.level, []
+    monkeypatch.setattr(packing, "level", lambda windows, capacity: handed.append(windows) or level(windows, capacity))
+    for sizes in ([6, 6, 6], [64] * 3, [40] * 50, [33, 31] * 20, *r.integers(1, 65, (5, 200)).tolist(), []):
+        capacity = 10 if sizes == [6, 6, 6] else 64
+        full, rest = packing.fill([(i, 0, n) for i, n in enumerate(sizes)], capacity)
+        assert all(sum(p[2] for p in w) <= capacity for w in handed[-1])
+        assert all(sum(p[2] for p in w) == capacity for w in full) and sum(p[2] for w in [*full, rest] for p in w) == sum(sizes)
+        # no count from the least one up to it would do
+        for fewer in range(-(-sum(sizes) // capacity), len(handed[-1])):
+            assert any(sum(sizes[i] for i in p) > capacity for p in packing.differencing(sizes, fewer))
+    assert [len(w) for w in handed[:3]] == [3, 3, 50]
+
+
 def base_places(t):
     import re
 
