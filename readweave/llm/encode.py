@@ -3,7 +3,7 @@
 Texts are cut only at gaps which the pre-tokenizer never joins across: plain spaces and line feeds, and between a run of
 Latin letters and the plain punctuation after it. So the ids of a text are the ids of its pieces in order. Pieces are
 found, hashed and looked up as arrays; a text with other white space or with runs of it goes to the library whole where
-the vocabulary keeps white space.
+the vocabulary keeps white space, and so does any text that holds the literal of a special token.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # in lower case, as some vocabularies fold texts before they look for them
+        self.literals = [t.content.encode().lower() for t in self.library.get_added_tokens_decoder().values() if t.content]
         shown = [self.library.encode(x, add_special_tokens=False).ids for x in ("a b", "a  \n b")]
         self.drops_space = shown[0] == shown[1]
         self._clear()
@@ -88,6 +89,19 @@ class Encoder:
                 odd[i] = bool(_WIDE_SPACE.search(docs.text(i)))
         return odd
 
+    def _special(self, docs: T.Docs) -> np.ndarray:
+        """Documents that may hold the literal of an added token, which the library looks for before it cuts texts."""
+        out = np.zeros(len(docs), bool)
+        data = docs.data.tobytes().lower()
+        for literal in self.literals:
+            at = data.find(literal)
+            while at >= 0:
+                i = int(np.searchsorted(docs.offsets, at, "right")) - 1
+                out[i] = True
+                # on in the same document there is nothing to learn
+                at = data.find(literal, max(at + 1, int(docs.offsets[i + 1]) - len(literal) + 1))
+        return out
+
     def slice(self, docs: T.Docs) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents, and each document's range of them."""
         keep = not self.drops_space
@@ -145,7 +159,10 @@ class Encoder:
         ends = np.cumsum(size)
         out = self.ids[np.repeat(self.start[i] - ends + size, size) + np.arange(int(size.sum()))]
         edge = np.concatenate([[0], ends])[np.concatenate([pos, [m]])[words.first]]
-        if keep and (odd := self._odd(docs)).any():
+        odd = self._special(docs)
+        if keep:
+            odd |= self._odd(docs)
+        if odd.any():
             parts = [self.whole(docs.text(d)) if odd[d] else out[edge[d] : edge[d + 1]] for d in range(len(docs))]
             out = np.concatenate(parts)
             edge = np.concatenate([[0], np.cumsum([len(p) for p in parts])])

@@ -300,6 +300,18 @@ def test_token_files(spark, docs):
     assert idfile.read_ids(idfile.write_ids(corpus.empty(spark), public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "ids"))).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_tokens_as_the_library_reads_them(spark, name):
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    some = ["a <|endoftext|> b", "a b", "", "x<|endoftext|>", "<|startoftext|>y. <|endoftext|><|endoftext|>", "<|EndOfText|> a", "<|endoftext", "|> b", "a  \n <|endoftext|>", None, "a < | endoftext |> b"]
+    want = {i: np.array(plain.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for i, t in enumerate(some)}
+    docs = corpus.frame(spark, some).coalesce(1)
+    files = rows(idfile.read_ids(idfile.write_ids(docs, public_tokenizers.path(name), new_path(spark, "ids")), with_ids=True))
+    assert {i: bytes(r["ids"]) for i, r in files.items()} == {i: x.tobytes() for i, x in want.items()}
+    for r in packing.pack(docs, public_tokenizers.path(name), with_ids=True).collect():
+        assert bytes(r["ids"]) == want[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes() and r["doc_tokens"] == len(want[r["doc_id"]])
+
+
 def test_id_file_ranges(tmp_path):
     r = np.random.default_rng(1)
     parts = [r.integers(0, 2**32, n, dtype=np.uint32) for n in (0, 1, 7, 1000, 3, 0)]
