@@ -181,7 +181,7 @@ def repeated_spans(docs: DataFrame, chunks: DataFrame, doc_id: str, text: str, w
     paths = asked.groupBy("bucket").applyInArrow(sources, schema)
 
     def compact(group: pa.Table) -> pa.Table:
-        """Join paths end to end where both the document and the source go on: maximal nonbranching paths."""
+        """Join runs end to end where both the document and the source go on."""
         c = {k: group[k].to_numpy() for k in names}
         by = np.lexsort((c["start"], c["doc"]))
         c = {k: v[by] for k, v in c.items()}
