@@ -9,9 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from readweave.functions.kernels import Lattice, edit_batch, lattice_distance, lattice_trace
+from readweave.functions.kernels import Lattice, edit_batch, lattice_distance, lattice_trace, path_keys, share_path
 from readweave.functions.text import Text, _c, apply_cutoff, check_cutoff, similarity_of
 
 
@@ -77,6 +77,16 @@ def lattice_osa(left: pd.Series, right: pd.Series) -> pd.Series:
     return _lattices(left, right, True)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def lattice_keys(lattice: pd.Series) -> pd.Series:
+    return lattice.map(lambda x: None if x is None else path_keys(Lattice.unpack(x)))
+
+
+@F.pandas_udf(BooleanType())
+def lattices_share(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([share_path(Lattice.unpack(a), Lattice.unpack(b)) for a, b in zip(left, right)], dtype=bool)
+
+
 STEP = StructType([StructField(x, StringType()) for x in ("op", "left", "right")])
 TRACE = StructType([StructField("distance", IntegerType()), StructField("steps", ArrayType(STEP))])
 

@@ -108,13 +108,24 @@ def align(df: DataFrame, left: str, right: str, *, lang: str | None = None, lexi
 def zero_distance_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, *, lang: str, lexicon: DataFrame | Bundle | None = None, options: Options | None = None) -> DataFrame:
     """Pairs of rows that share a spelling: a hash join on spellings instead of the product of both sides.
 
-    Exact for texts whose spellings are written out; texts over the limits match nothing.
+    Texts over the limits of written-out spellings meet others by the first character and length of a spelling, and
+    their lattices decide.
     """
     lang, words, options = resolve(lang, lexicon, options)
+    a, b = (expand(df, words, lang, options, text=on).select(F.col("text").alias(f"_{name}"), "paths", F.col("lattice").alias(f"_{name}_lattice")) for df, on, name in ((left, left_on, "left"), (right, right_on, "right")))
 
-    def spelled(df: DataFrame, column: str, name: str) -> DataFrame:
-        e = expand(df, words, lang, options, text=column).select(F.col("text").alias(f"_{name}"), F.explode("paths").alias("_spelling"))
-        return e
+    def spelled(e: DataFrame, name: str) -> DataFrame:
+        return e.select(f"_{name}", F.explode("paths").alias("_spelling"))
 
-    pairs = spelled(left, left_on, "left").join(spelled(right, right_on, "right"), "_spelling").select("_left", "_right").distinct()
+    pairs = spelled(a, "left").join(spelled(b, "right"), "_spelling").select("_left", "_right").distinct()
+    if lang == "ja":  # others have no lattices, and no limits
+
+        def keyed(e: DataFrame, name: str) -> DataFrame:
+            e = e.where(F.col(f"_{name}_lattice").isNotNull())
+            return e.select(f"_{name}", f"_{name}_lattice", F.explode(P.lattice_keys(f"_{name}_lattice")).alias("_key"))
+
+        over = F.col("paths").isNull()
+        some = keyed(a.where(over), "left").join(keyed(b, "right"), "_key").unionByName(keyed(a.where(~over), "left").join(keyed(b.where(over), "right"), "_key"))
+        some = some.dropDuplicates(["_left", "_right"]).where(P.lattices_share("_left_lattice", "_right_lattice"))
+        pairs = pairs.union(some.select("_left", "_right"))
     return left.join(pairs, left[left_on] == pairs["_left"]).join(right, pairs["_right"] == right[right_on]).drop("_left", "_right")

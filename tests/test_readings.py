@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readweave.functions import readings as R
-from readweave.functions import romaji, scripts
+from readweave.functions import kernels, romaji, scripts
 from readweave.functions.readings import Options
 from readweave.operators.expand import reading_paths, with_overrides
 from readweave.operators.extract import extract
@@ -184,6 +184,16 @@ def test_zero_distance_join(spark, zh):
     assert [(r["i"], r["j"]) for r in zero_distance_join(a, b, "a", "b", lang="zh", lexicon=zh).collect()] == [(0, 0)]
 
 
+def test_zero_distance_join_over_the_limit(spark):
+    texts = ["し" * 20, "シ" * 20, "shi" * 20, "si" * 20, "si" * 19 + "x", "し" * 21, "し", "si", "漢", None, ""]
+    a = spark.createDataFrame(list(enumerate(texts)), "i long, a string")
+    b = spark.createDataFrame(list(enumerate(texts)), "j long, b string")
+    got = sorted((r["i"], r["j"]) for r in zero_distance_join(a, b, "a", "b", lang="ja", lexicon=L.from_entries(spark, JA)).collect())
+    spelled = {i: romaji.romaji_lattice(t) for i, t in enumerate(texts) if t is not None and t != "漢"}
+    assert got == sorted((i, j) for i, x in spelled.items() for j, y in spelled.items() if kernels.lattice_distance(x, y, False) == 0)
+    assert {(0, 0), (0, 1), (0, 2), (3, 1), (5, 5), (6, 7)} <= set(got) and (0, 4) not in got
+
+
 def test_reading_paths_frame(spark):
     lex = L.from_entries(spark, {"鬼滅": ["キメツ"], "の": ["ノ"], "刃": ["ハ", "ヤイバ"]})
     row = reading_paths(spark.createDataFrame([("鬼滅の刃",), ("x",), (None,)], "text string"), lex, "ja").where("text = '鬼滅の刃'").first()
