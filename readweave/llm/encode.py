@@ -1,4 +1,4 @@
-"""Token ids by the tokenizers library, each distinct piece of text once for each worker's cache.
+"""Token ids by the tokenizers library; each worker caches the ids of the pieces of text that it met first.
 
 Texts are cut only at gaps which the pre-tokenizer never joins across: plain spaces and line feeds, and between a run of
 Latin letters and the plain punctuation after it. So the ids of a text are the ids of its pieces in order. Pieces are
@@ -8,6 +8,7 @@ the vocabulary keeps white space, and so does any text that holds the literal of
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 
@@ -27,32 +28,52 @@ _OTHER = np.zeros(256, bool)
 _OTHER[[9, 11, 12, 13, *range(28, 32)]] = True
 _WIDE_SPACE = re.compile("[\x85\xa0 ᠎ -​    　﻿]")
 _SPACED = np.uint64(0xA24BAED4963EE407)
-_MOST_PIECES = 1_500_000
+#: Bounds of a worker's cache; pieces beyond are encoded each time they come up
+_MOST_PIECES, _MOST_IDS = 400_000, 4_000_000
 _LIBRARY_BATCH = 8192
+#: Pieces that go to the library as one text, where the vocabulary has an id for line feeds, which no word holds
+_JOINED = 256
 
 
 class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        # tasks are the parallelism; threads of the library would take other tasks' cores, and memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         # in lower case, as some vocabularies fold texts before they look for them
         self.literals = [t.content.encode().lower() for t in self.library.get_added_tokens_decoder().values() if t.content]
         shown = [self.library.encode(x, add_special_tokens=False).ids for x in ("a b", "a  \n b")]
         self.drops_space = shown[0] == shown[1]
-        self._clear()
-
-    def _clear(self) -> None:
+        self.line_feed = self.library.encode("\n", add_special_tokens=False).ids
         self.keys = np.zeros(0, np.uint64)
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.start = np.zeros(0, np.int32)
+        self.size = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Add pieces with sorted new keys to the cache."""
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after the other, and how many each has."""
+        if len(self.line_feed) == 1 and not self.drops_space:
+            got, sizes = [], []
+            for at in range(0, len(pieces), _JOINED):
+                some = pieces[at : at + _JOINED]
+                ids = np.array(self.library.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                feeds = np.flatnonzero(ids == self.line_feed[0])
+                if len(feeds) != len(some) - 1:  # a piece is a line feed itself
+                    ids, n = self._encode_each(some)
+                else:
+                    n = np.diff(feeds, prepend=-1, append=len(ids)) - 1
+                    ids = np.delete(ids, feeds)
+                got.append(ids)
+                sizes.append(n)
+            return np.concatenate(got), np.concatenate(sizes)
+        return self._encode_each(pieces)
+
+    def _encode_each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got: list[int] = []
         sizes: list[int] = []
         for at in range(0, len(pieces), _LIBRARY_BATCH):
@@ -60,14 +81,7 @@ class Encoder:
                 ids = e.ids
                 got += ids
                 sizes.append(len(ids))
-        size = np.array(sizes, np.int64)
-        start = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.array(got, np.uint32)])
-        both = np.concatenate([self.keys, keys])
-        order = np.argsort(both, kind="stable")
-        self.keys = both[order]
-        self.start = np.concatenate([self.start, start])[order]
-        self.size = np.concatenate([self.size, size])[order]
+        return np.array(got, np.uint32), np.array(sizes, np.int64)
 
     def _odd(self, docs: T.Docs) -> np.ndarray:
         """Documents that go to the library whole, if white space is kept."""
@@ -147,17 +161,22 @@ class Encoder:
         i = np.searchsorted(self.keys, one)
         known = i < len(self.keys)
         known[known] = self.keys[i[known]] == one[known]
+        start, size, ids = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64), self.ids
+        start[known], size[known] = self.start[i[known]], self.size[i[known]]
         if not known.all():
-            if len(self.keys) + len(one) > _MOST_PIECES:
-                self._clear()
-                known[:] = False
             raw, new = docs.data.tobytes(), at[~known]
-            self._learn(one[~known], [(" " if s else "") + raw[x:y].decode("utf-8", "replace") for x, y, s in zip(a[new].tolist(), b[new].tolist(), lead[new].tolist())])
-            i = np.searchsorted(self.keys, one)
-        i = i[where]
-        size = self.size[i]
+            got, n = self._encode([(" " if s else "") + raw[x:y].decode("utf-8", "replace") for x, y, s in zip(a[new].tolist(), b[new].tolist(), lead[new].tolist())])
+            ids = np.concatenate([ids, got])
+            start[~known], size[~known] = len(ids) - len(got) + np.cumsum(n) - n, n
+            if len(self.keys) + len(n) <= _MOST_PIECES and len(ids) <= _MOST_IDS:
+                places = i[~known]
+                self.keys = np.insert(self.keys, places, one[~known])
+                self.start = np.insert(self.start, places, start[~known])
+                self.size = np.insert(self.size, places, n)
+                self.ids = ids
+        start, size = start[where], size[where]
         ends = np.cumsum(size)
-        out = self.ids[np.repeat(self.start[i] - ends + size, size) + np.arange(int(size.sum()))]
+        out = ids[np.repeat(start - ends + size, size) + np.arange(int(size.sum()))]
         edge = np.concatenate([[0], ends])[np.concatenate([pos, [m]])[words.first]]
         odd = self._special(docs)
         if keep:

@@ -13,6 +13,7 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -29,6 +30,10 @@ from readweave.llm.tables import new_path, stash, table
 
 MAGIC = b"RWIDPLN1"
 BLOCK_IDS = 1 << 16
+#: A task begins another file when one has this many ids
+FILE_IDS = 1 << 26
+#: Bytes of text that are encoded at once
+TEXT_BYTES = 500_000
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -67,11 +72,11 @@ class IdWriter:
         self.blocks: list[list[int]] = []
         self.waiting: list[np.ndarray] = []
         self.held = self.total = 0
-        self.keys: list[int | None] = []
-        self.lengths: list[int] = []
+        self.keys, self.lengths, self.null = array("q"), array("q"), bytearray()
 
     def add(self, key: int | None, ids: np.ndarray) -> None:
-        self.keys.append(key)
+        self.keys.append(key or 0)
+        self.null.append(key is None)
         self.lengths.append(len(ids))
         self.waiting.append(ids)
         self.held += len(ids)
@@ -94,9 +99,8 @@ class IdWriter:
 
     def close(self) -> None:
         self._flush(True)
-        null = np.array([k is None for k in self.keys], np.uint8)
-        keys = np.array([k or 0 for k in self.keys], "<i8")
-        docs = self.zip.compress(null.tobytes() + keys.tobytes() + np.array(self.lengths, "<i8").tobytes())
+        keys, lengths = (np.array(x, "<i8") for x in (self.keys, self.lengths))
+        docs = self.zip.compress(bytes(self.null) + keys.tobytes() + lengths.tobytes())
         docs_at = self.at
         self.at += self.out.write(docs)
         index = self.zip.compress(json.dumps({"blocks": self.blocks, "docs": [docs_at, len(docs), len(keys)], "ids": self.total, "block": self.block}).encode())
@@ -117,9 +121,8 @@ class IdReader:
         self.index = json.loads(self.zip.decompress(self._read(at, n)))
         docs_at, size, n = self.index["docs"]
         raw = self.zip.decompress(self._read(docs_at, size)) if n else b""
-        null = np.frombuffer(raw[:n], np.uint8)
-        self.keys = [None if z else k for z, k in zip(null.tolist(), np.frombuffer(raw[n : 9 * n], "<i8").tolist())]
-        self.lengths = np.frombuffer(raw[9 * n :], "<i8")
+        self.null = np.frombuffer(raw, np.uint8, n)
+        self.keys, self.lengths = np.frombuffer(raw, "<i8", 2 * n, n).reshape(2, n)
 
     def _read(self, at: int, n: int) -> bytes:
         self.file.seek(at)
@@ -146,22 +149,23 @@ class IdReader:
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """All documents in order, a block in memory at a time."""
         rest, i = np.zeros(0, np.uint32), 0
-        for key, n in zip(self.keys, self.lengths.tolist()):
+        for null, key, n in zip(self.null, self.keys, self.lengths):
             parts, have = [rest], len(rest)
             while have < n:
                 parts.append(self.block(i))
                 have += len(parts[-1])
                 i += 1
             flat = np.concatenate(parts) if len(parts) > 1 else rest
-            yield key, flat[:n]
+            yield None if null else int(key), flat[:n]
             rest = flat[n:]
 
 
-def write_ids(docs: DataFrame, vocabulary: str, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, bits: bool = False, block: int = BLOCK_IDS) -> DataFrame:
-    """Encode all texts into files under `path`, in ascending doc_id order: the manifest (shard, file, docs, ids).
+def write_ids(docs: DataFrame, vocabulary: str, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, bits: bool = False, block: int = BLOCK_IDS, file_ids: int = FILE_IDS) -> DataFrame:
+    """Encode all texts into files under `path`, in ascending doc_id order: the manifest (shard, part, file, docs, ids).
 
     Documents are range-partitioned by doc_id and a hash of the text, so rows that share a doc_id can be split over
-    files; null ids come first. Each attempt at a task writes a file of its own, and the manifest names the files of the
+    files; null ids come first. A file ends with the document that brings it to `file_ids`, and the task begins another
+    part. Each attempt at a task writes a file of its own, and the manifest names the files of the
     attempts that ended well. It is written to the shared folder, which runs the encoding once.
     """
     spark = docs.sparkSession
@@ -173,24 +177,34 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, *, doc_id: str = "doc
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        name = f"{path}/{shard:06d}-{uuid.uuid4().hex}.ids"
         out = writer = None
+        name, part = "", 0
         enc = encoder(vocabulary)
+
+        def close() -> pa.RecordBatch:
+            nonlocal writer, part
+            writer.close()
+            out.close()
+            row = {"shard": [shard], "part": [part], "file": [name], "docs": [len(writer.keys)], "ids": [writer.total]}
+            writer, part = None, part + 1
+            return pa.RecordBatch.from_pydict(row)
+
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for at, to, part in T.slices(T.docs_of(batch.column(1))):
-                if writer is None:
-                    out = open_file(name, write=True)
-                    writer = IdWriter(out, bits=bits, block=block)
-                ids, edge = enc.slice(part)
+            for at, to, some in T.slices(T.docs_of(batch.column(1)), TEXT_BYTES):
+                ids, edge = enc.slice(some)
                 for i in range(to - at):
+                    if writer is None:
+                        name = f"{path}/{shard:06d}-{part:06d}-{uuid.uuid4().hex}.ids"
+                        out = open_file(name, write=True)
+                        writer = IdWriter(out, bits=bits, block=block)
                     writer.add(keys[at + i], np.append(ids[edge[i] : edge[i + 1]], np.uint32(end_id)))
+                    if writer.total >= file_ids:
+                        yield close()
         if writer is not None:
-            writer.close()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "docs": [len(writer.keys)], "ids": [writer.total]})
+            yield close()
 
-    return stash(rows.mapInArrow(run, "shard long, file string, docs long, ids long"), "manifest")
+    return stash(rows.mapInArrow(run, "shard long, part long, file string, docs long, ids long"), "manifest")
 
 
 def read_ids(manifest: DataFrame, *, with_ids: bool = False) -> DataFrame:
@@ -199,7 +213,7 @@ def read_ids(manifest: DataFrame, *, with_ids: bool = False) -> DataFrame:
     The running total takes a row for each file, not for each document.
     """
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("ids").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = manifest.withColumn("before", before).select("file", "before").repartition(n)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
 

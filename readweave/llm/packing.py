@@ -14,6 +14,8 @@ from readweave.llm import text as T
 from readweave.llm.encode import encoder
 from readweave.llm.tables import table
 
+#: Bytes of text that are encoded at once
+TEXT_BYTES = 500_000
 Piece = tuple[int, int, int]  # document (number in the block), start, length
 
 
@@ -169,7 +171,7 @@ def pack(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str
         for batch in batches:
             key_type = batch.schema.field(0).type
             keys = batch.column(0).to_pylist()
-            for at, to, part in T.slices(T.docs_of(batch.column(1))):
+            for at, to, part in T.slices(T.docs_of(batch.column(1)), TEXT_BYTES):
                 ids, edge = enc.slice(part)
                 whole: list[list[Piece]] = []
                 for i in range(to - at):

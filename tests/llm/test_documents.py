@@ -297,6 +297,10 @@ def test_token_files(spark, docs):
             want = ids(t)
             assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(want), zlib.crc32(want.tobytes())) and bytes(got[i]["ids"]) == want.tobytes()
             at += len(want)
+    # files that end early, and the running total over a task's parts
+    parts = idfile.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "ids"), block=256, file_ids=2000)
+    assert parts.count() > parts.select("shard").distinct().count()
+    assert rows(idfile.read_ids(parts)) == rows(idfile.read_ids(manifest))
     assert idfile.read_ids(idfile.write_ids(corpus.empty(spark), public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "ids"))).count() == 0
 
 
@@ -332,6 +336,24 @@ def test_id_file_ranges(tmp_path):
         idfile.IdReader(f)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoding_beyond_the_cache(monkeypatch, name):
+    """A full cache, pieces that go to the library together, and line feeds between them change no ids."""
+    from readweave.llm import encode
+    from readweave.llm import text as T
+
+    monkeypatch.setattr(encode, "_MOST_PIECES", 20)
+    monkeypatch.setattr(encode, "_JOINED", 3)
+    enc = encode.Encoder(public_tokenizers.path(name))
+    r = np.random.default_rng(3)
+    some = ["".join(r.choice(list("abcdeé, .\n'sIT9"), 60)) for _ in range(50)] + ["", "\n", " x", "it's\nI'm", "a\n\nb"]
+    for _ in range(2):
+        ids, edge = enc.slice(T.docs_of(pa.array(some)))
+        for i, t in enumerate(some):
+            assert ids[edge[i] : edge[i + 1]].tolist() == enc.library.encode(t, add_special_tokens=False).ids
+    assert len(enc.keys) <= 20
+
+
 def test_packing(spark, docs):
     some, ids = corpus.texts(), library("byte_bpe_50k.json")
     got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=64, block_tokens=1500, with_ids=True).collect()
