@@ -16,6 +16,7 @@ from readweave.operators.extract import extract, extract_one
 from readweave.operators.matrix import cdist, within_join
 from readweave.operators.partial import partial_alignment, partial_distance, partial_ratio
 from readweave.operators.scoring import compare, score, zero_distance_join
+from readweave.plans import readings
 from readweave.sources.lexicon import from_entries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,7 +148,7 @@ def queries() -> dict[str, Query]:
         "zero_distance_join": _same_spelling,
         "reading_paths": _segmented,
         "romaji_spellings": _spellings,
-    }
+    } | readings.queries()
 
 
 _PAIRS = "q(query_id, query) as (values " + ", ".join(f"({i}::bigint, '{w}')" for i, w in enumerate(WORDS)) + "), n as (select p_name as choice, min(p_partkey) as choice_id from part group by 1), p as (select * from q, n)"
@@ -214,4 +215,4 @@ def oracles() -> dict[str, str]:
         "zh_distance": _on_pairs(f"levenshtein({asked}, {direct})::int"),
         "ja_compare": f"with recursive {_PAIRS}, {_OSA.format(l='query', r='choice', source='p')} select query_id, choice_id, levenshtein(query, choice)::int as surface_levenshtein, osa as surface_damerau, levenshtein(query, choice)::int as lattice, osa as lattice_damerau, least(osa, levenshtein(query, choice))::int as combined from p join osa on query = l and choice = r",
         "zero_distance_join": f"with {_PAIRS} select a.choice_id, b.choice_id as tight_id from n a join n b on replace(a.choice, ' ', '') = replace(b.choice, ' ', '')",
-    }
+    } | readings.oracles(_OSA)
