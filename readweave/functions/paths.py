@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from readweave.functions.kernels import Lattice, edit_batch, lattice_distance, lattice_trace, path_keys, share_path
+from readweave.functions.kernels import DISTANCE_CELLS, Lattice, edit_batch, lattice_distance, lattice_trace, path_keys, share_path
 from readweave.functions.text import Text, _c, apply_cutoff, check_cutoff, similarity_of
 
 
@@ -29,8 +29,12 @@ def each_pair(left: Column, right: Column, score) -> Column:
     return F.flatten(F.transform(left, lambda p: F.transform(right, lambda q: score(p, q))))
 
 
-def least_distance(left: Column, right: Column) -> Column:
-    return F.array_min(each_pair(left, right, F.levenshtein))
+def least_distance(left: Column, right: Column, most: int | None = None) -> Column:
+    """With `most`, distances over it read most + 1, and their computation is banded."""
+    if most is None:
+        return F.array_min(each_pair(left, right, F.levenshtein))
+    near = F.array_min(F.filter(each_pair(left, right, lambda p, q: F.levenshtein(p, q, most)), lambda d: d >= 0))
+    return F.when(left.isNotNull() & right.isNotNull(), F.coalesce(near, F.lit(most + 1)))
 
 
 def best_similarity(left: Column, right: Column) -> Column:
@@ -52,29 +56,37 @@ def osa_sets(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _lattices(left: pd.Series, right: pd.Series, transpose: bool) -> pd.Series:
+def _lattices(left: pd.Series, right: pd.Series, most: pd.Series, transpose: bool) -> pd.Series:
     known: dict[str, Lattice] = {}
     out = []
-    for a, b in zip(left, right):
+    for a, b, m in zip(left, right, most):
         if a is None or b is None:
             out.append(None)
             continue
         for x in (a, b):
             if x not in known:
                 known[x] = Lattice.unpack(x)
-        out.append(lattice_distance(known[a], known[b], transpose))
+        m = None if pd.isna(m) else int(m)
+        d = lattice_distance(known[a], known[b], transpose, m)
+        out.append(m + 1 if d is None and m is not None else d)
     return pd.Series(pd.array(out, "Int32"))
 
 
 @F.pandas_udf(IntegerType())
-def lattice_levenshtein(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Distance of packed lattices: for languages too large to write out."""
-    return _lattices(left, right, False)
+def lattice_levenshtein(left: pd.Series, right: pd.Series, most: pd.Series) -> pd.Series:
+    """Distance of packed lattices: for languages too large to write out. Over `most` (null: no bound) it reads most + 1."""
+    return _lattices(left, right, most, False)
 
 
 @F.pandas_udf(IntegerType())
-def lattice_osa(left: pd.Series, right: pd.Series) -> pd.Series:
-    return _lattices(left, right, True)
+def lattice_osa(left: pd.Series, right: pd.Series, most: pd.Series) -> pd.Series:
+    return _lattices(left, right, most, True)
+
+
+def over_cells(left: Column, right: Column, most: int = DISTANCE_CELLS) -> Column:
+    """Whether two packed lattices have more node pairs than a kernel takes; false where one is null."""
+    nodes = lambda x: F.substring_index(x, " ", 1).cast("long")
+    return F.coalesce(nodes(left) * nodes(right) > most, F.lit(False))
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -31,21 +31,20 @@ def check_metric(metric: str) -> str:
     return metric
 
 
+#: What a metric's cutoff may be: its types, and the largest value (None: no bound). A bool counts as no number.
+_CUTOFFS = {m: ((int,), None) for m in DISTANCES} | {m: ((int, float), 1.0) for m in METRICS[len(DISTANCES) :]}
+
+
 def check_cutoff(cutoff: int | float | None, metric: str) -> int | float | None:
-    """Whole and not negative for distances; between 0 and 1 for the others. A bool is no number here."""
+    """The cutoff of a metric, as a float where the metric is one; an error where `_CUTOFFS` has no place for it."""
+    kinds, most = _CUTOFFS[metric]
     if cutoff is None:
         return None
-    if metric in DISTANCES:
-        if isinstance(cutoff, bool) or not isinstance(cutoff, int):
-            raise TypeError("score_cutoff must be an int for distances")
-        if cutoff < 0:
-            raise ValueError("score_cutoff must be >= 0 for distances")
-        return cutoff
-    if isinstance(cutoff, bool) or not isinstance(cutoff, (int, float)):
-        raise TypeError("score_cutoff must be a float for normalized scores")
-    if not 0.0 <= float(cutoff) <= 1.0:
-        raise ValueError("score_cutoff must be between 0.0 and 1.0")
-    return float(cutoff)
+    if type(cutoff) not in kinds:
+        raise TypeError(f"a cutoff of {metric} is of type {' or '.join(k.__name__ for k in kinds)}, not {cutoff!r}")
+    if not 0 <= cutoff <= (cutoff if most is None else most):
+        raise ValueError(f"a cutoff of {metric} is {'at least 0' if most is None else 'between 0 and 1'}, not {cutoff!r}")
+    return kinds[-1](cutoff)
 
 
 def apply_cutoff(score: Column, metric: str, cutoff: int | float | None) -> Column:

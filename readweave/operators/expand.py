@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readweave.functions import paths as P
 from readweave.functions import readings as R
+from readweave.functions import text as X
 from readweave.functions import scripts
 from readweave.functions.kernels import LatticeError
 from readweave.functions.readings import Options
@@ -52,9 +54,11 @@ def _finder(hits) -> R.Find:
     return lambda s: found[s][1] if s in found else None
 
 
-def expand(texts: DataFrame, lexicon: DataFrame, lang: str, options: Options, *, text: str = "text") -> DataFrame:
+def expand(texts: DataFrame, lexicon: DataFrame, lang: str, options: Options, *, text: str = "text", lattices: bool = True, paths: bool = True) -> DataFrame:
     """One row for each distinct text: its packed lattice, the lattice's strings (null where there are many), the written
-    paths, and errors. `unsupported` tells texts that have characters beyond reach from those over a limit."""
+    paths, and errors. `unsupported` tells texts that have characters beyond reach from those over a limit. Lattices or
+    paths that aren't asked for are null and not computed."""
+    want_lattices, want_paths = lattices, paths
     distinct = texts.select(F.col(text).alias("text")).where("text is not null").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,7 +69,9 @@ def expand(texts: DataFrame, lexicon: DataFrame, lang: str, options: Options, *,
                 lattice = strings = paths = error = paths_error = None
                 unsupported = False
                 try:
-                    if lang == "ja":
+                    if not want_lattices and lang == "ja":
+                        pass
+                    elif lang == "ja":
                         lat = R.ja_lattice(t, find, options)
                         lattice, strings = lat.pack(), lat.paths(WRITTEN)
                     else:
@@ -73,7 +79,7 @@ def expand(texts: DataFrame, lexicon: DataFrame, lang: str, options: Options, *,
                 except (ReadingError, LatticeError) as e:
                     error = str(e)
                 try:
-                    paths = R.ja_paths(t, find, options) if lang == "ja" else strings
+                    paths = strings if lang == "zh" else R.ja_paths(t, find, options) if want_paths else None
                     if lang == "zh" and strings is None:
                         paths_error, unsupported = error, True
                 except ReadingError as e:
@@ -115,3 +121,17 @@ def with_overrides(texts: DataFrame, exceptions: DataFrame, *, text: str = "text
     rows = rows.withColumn("reading", F.explode(F.coalesce("readings", F.array("text"))))
     spelled = rows.withColumn("spelled", scripts.romaji_paths("reading"))
     return spelled.groupBy("text").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spelled")))).alias("paths"))
+
+
+def compare_with_overrides(df: DataFrame, left: str, right: str, exceptions: DataFrame, *, out: str = "comparison") -> DataFrame:
+    """Add a struct of five distances, as `compare` does, of texts that are read by overrides or as they are. Null where
+    a text has no spelling."""
+    texts = df.select(F.col(left).alias("text")).union(df.select(F.col(right)))
+    spelled = with_overrides(texts, exceptions)
+    for c, name in ((left, "_o0"), (right, "_o1")):
+        df = df.join(spelled.select(F.col("text").alias(f"{name}_text"), F.col("paths").alias(name)), F.col(c) == F.col(f"{name}_text"), "left").drop(f"{name}_text")
+    both = (F.size("_o0") > 0) & (F.size("_o1") > 0)
+    a, b = F.when(both, F.col("_o0")), F.when(both, F.col("_o1"))
+    df = df.withColumn("_lped", P.least_distance(a, b)).withColumn("_losa", P.osa_sets(a, b)).withColumn("_sosa", X.osa(left, right))
+    made = F.struct(X.levenshtein(left, right).alias("surface_levenshtein"), F.col("_sosa").alias("surface_damerau"), F.col("_lped").alias("lattice"), F.col("_losa").alias("lattice_damerau"), F.least("_sosa", "_lped").alias("combined"))
+    return df.withColumn(out, F.when(F.col("_lped").isNotNull(), made)).drop("_o0", "_o1", "_lped", "_losa", "_sosa")

@@ -2,54 +2,107 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readweave.functions import text as X
 from readweave.functions.readings import Options
 from readweave.operators.expand import attach, expand
-from readweave.operators.scoring import checked_error, reading_error, reading_score
+from readweave.operators.scoring import checked_error, needed, new_columns, reading_error, reading_score, unused
 from readweave.sources.lexicon import Bundle, resolve
 
 
 def cdist(queries: DataFrame, choices: DataFrame, query: str = "query", choice: str = "choice", metric: str = "distance", *, lang: str | None = None, lexicon: DataFrame | Bundle | None = None, options: Options | None = None, score_cutoff: int | float | None = None, on_error: str = "null") -> DataFrame:
     """Every query with every choice, and `score`. A cutoff replaces scores and never drops cells; an empty side gives no
-    rows. The two sides must have no column name in common.
+    rows. Columns of the choices whose names the queries have too get `_choice` behind them, and the query's and the
+    choice's own columns must differ in name (a column of the queries that is named like the choice gets `_query`).
 
     With readings, each distinct text is expanded once, before the product. Catalyst broadcasts the smaller side where its
     size is known to be small, and otherwise deals out a Cartesian product of partitions.
     """
     X.check_metric(metric)
     X.check_cutoff(score_cutoff, metric)
+    if query == choice:
+        raise ValueError("the query's and the choice's column must have different names")
+    if query in choices.columns:
+        choices = choices.withColumnRenamed(query, f"{query}_choice")
+    choices = choices.select(*[F.col(f"`{c}`").alias(f"{c}_choice" if c in queries.columns and c != choice else c) for c in choices.columns])
+    if choice in queries.columns:
+        queries = queries.withColumnRenamed(choice, f"{choice}_query")
+    new_columns(queries, "score", "error")
+    new_columns(choices, "score", "error")
     if lang is None and lexicon is None:
         return queries.crossJoin(choices).withColumn("score", X.plain(metric)(query, choice, score_cutoff))
     lang, words, options = resolve(lang, lexicon, options)
     texts = queries.select(F.col(query).alias("text")).union(choices.select(F.col(choice)))
-    e = expand(texts, words, lang, options)
-    pairs = attach(queries, query, e, "_r0").crossJoin(attach(choices, choice, e, "_r1"))
-    error = reading_error("_r0", "_r1", metric)
-    value = X.apply_cutoff(reading_score("_r0", "_r1", query, choice, metric), metric, score_cutoff)
-    return pairs.withColumn("score", checked_error(value, error, on_error)).withColumn("error", error).drop("_r0", "_r1")
+    e = expand(texts, words, lang, options, **needed(metric))
+    a, b = unused(queries, "_r0", "_r1")
+    pairs = attach(queries, query, e, a).crossJoin(attach(choices, choice, e, b))
+    error = reading_error(a, b, metric)
+    most = score_cutoff if metric in X.DISTANCES else None
+    value = X.apply_cutoff(reading_score(a, b, query, choice, metric, most), metric, score_cutoff)
+    return pairs.withColumn("score", checked_error(value, error, on_error)).withColumn("error", error).drop(a, b)
+
+
+#: Strings up to this length meet by their spellings with deletions, for up to this many edits
+SHORT, FEW = 64, 2
+
+
+def without(text: Column, edits: int) -> Column:
+    """The distinct strings that up to `edits` deletions leave of a text."""
+    out = F.array(text)
+    for _ in range(edits):
+        cut = lambda t: F.transform(F.sequence(F.lit(1), F.char_length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.char_length(t))))  # noqa: E731, B023
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(F.filter(out, lambda t: F.char_length(t) > 0), cut))))
+    return out
 
 
 def within_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, most: int) -> DataFrame:
     """Pairs of plain strings at a Levenshtein distance of at most `most`, without the product of both sides.
 
-    A string that is cut into most+1 segments keeps one of them whole in any string so near, at a place that is shifted by
-    at most `most`: rows meet by (length, place, segment), and the distance decides.
+    Strings of up to 64 characters, for at most two edits, meet by what deletions leave of them: two strings within
+    `most` edits become one by at most so many deletions on each side, and such keys are nearly as selective as whole
+    strings, whatever strings have in common. Longer strings, or more edits, meet by segments: a string that is cut into
+    most+1 of them keeps one whole in any string so near, shifted by at most `most`. Segments that many strings share
+    bring their product, which is dealt out by the hash of the left string. The distance decides.
     """
     X.check_cutoff(most, "distance")
-    n = lambda c: F.char_length(c)
-    k = most + 1
-    bound = lambda size, i: F.floor(size * i / k).cast("int")
     ls = left.select(F.col(left_on).alias("_l")).where("_l is not null").distinct()
     rs = right.select(F.col(right_on).alias("_r")).where("_r is not null").distinct()
-    left_keys = ls.select("_l", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(n(F.col("_l")).alias("size"), i.alias("part"), F.substring(F.col("_l"), bound(n(F.col("_l")), i) + 1, bound(n(F.col("_l")), i + 1) - bound(n(F.col("_l")), i)).alias("piece")))).alias("k"))
-    # a right string looks for left strings of each near length, each part at each near shift
-    sizes = F.sequence(F.greatest(F.lit(0), n(F.col("_r")) - most), n(F.col("_r")) + most)
-    def pieces(size):  # noqa: E306
-        parts = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda d: F.when(bound(size, i) + d >= 0, F.struct(size.alias("size"), i.alias("part"), F.substring(F.col("_r"), bound(size, i) + d + 1, bound(size, i + 1) - bound(size, i)).alias("piece")))))
-        return F.filter(F.flatten(parts), lambda x: x.isNotNull())
-    right_keys = rs.select("_r", F.explode(F.array_distinct(F.flatten(F.transform(sizes, pieces)))).alias("k"))
-    pairs = left_keys.join(right_keys, "k").select("_l", "_r").distinct().withColumn("distance", F.levenshtein("_l", "_r", most)).where("distance >= 0")
+    short = lambda c: (F.char_length(c) <= SHORT) & F.lit(most <= FEW)
+    # a string near a short one has at most `most` characters more
+    near = lambda c: (F.char_length(c) <= SHORT + most) & F.lit(most <= FEW)
+    keyed = lambda df, c: df.select(c, F.explode(F.transform(without(F.col(c), most), lambda v: F.xxhash64(v))).alias("k"))
+    pairs = keyed(ls.where(short("_l")), "_l").join(keyed(rs.where(near("_r")), "_r"), "k").select("_l", "_r")
+    pairs = pairs.union(by_segments(ls.where(~short("_l")), rs, most))
+    pairs = pairs.distinct().withColumn("distance", F.levenshtein("_l", "_r", most)).where("distance >= 0")
     return left.join(pairs, left[left_on] == pairs["_l"]).join(right, pairs["_r"] == right[right_on]).drop("_l", "_r")
+
+
+#: Rows of the left side for each share of a segment that many strings have
+SHARE = 1000
+
+
+def by_segments(ls: DataFrame, rs: DataFrame, most: int) -> DataFrame:
+    """Candidate pairs (_l, _r) that share a segment by length and place."""
+    n = F.char_length
+    k = most + 1
+    bound = lambda size, i: F.floor(size * i / k).cast("int")
+
+    def piece(text, size, i, shift):
+        return F.struct(size.alias("size"), i.alias("part"), F.substring(text, bound(size, i) + shift + 1, bound(size, i + 1) - bound(size, i)).alias("piece"))
+
+    parts = F.sequence(F.lit(0), F.lit(most))
+    left = ls.select("_l", F.explode(F.transform(parts, lambda i: piece(F.col("_l"), n("_l"), i, 0))).alias("k"))
+    # a right string looks for left strings of each near length, each part at each near shift
+    sizes = F.sequence(F.greatest(F.lit(0), n("_r") - most), n("_r") + most)
+
+    def pieces(size):
+        some = F.transform(parts, lambda i: F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda d: F.when(bound(size, i) + d >= 0, piece(F.col("_r"), size, i, d))))
+        return F.filter(F.flatten(some), lambda x: x.isNotNull())
+
+    right = rs.select("_r", F.explode(F.array_distinct(F.flatten(F.transform(sizes, pieces)))).alias("k"))
+    shares = left.groupBy("k").agg(F.ceil(F.count("*") / F.lit(SHARE)).cast("int").alias("shares"))
+    left = left.join(shares, "k").withColumn("share", F.pmod(F.xxhash64("_l"), F.col("shares")).cast("int")).select("k", "share", "_l")
+    right = right.join(shares, "k").select("k", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "_r")
+    return left.join(right, ["k", "share"]).select("_l", "_r")

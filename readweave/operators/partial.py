@@ -15,12 +15,12 @@ ALIGNMENT = "struct<score:{},src_start:int,src_end:int,dest_start:int,dest_end:i
 
 
 def check_partial(metric: str, max_span_chars: int | None) -> str:
+    if type(metric) is not str or max_span_chars is not None and type(max_span_chars) is not int:
+        raise TypeError("a metric is a str, and max_span_chars a whole number or None")
     if metric not in ("ratio", "distance"):
-        raise ValueError("the metric must be 'ratio' or 'distance'")
-    if max_span_chars is not None and (isinstance(max_span_chars, bool) or not isinstance(max_span_chars, int)):
-        raise TypeError("max_span_chars must be an int")
-    if max_span_chars is not None and max_span_chars < 0:
-        raise ValueError("max_span_chars must be >= 0")
+        raise ValueError(f"spans are scored by 'ratio' or 'distance', not {metric!r}")
+    if max_span_chars is not None and max_span_chars < 1:
+        raise ValueError(f"spans have one character at least, so max_span_chars can't be {max_span_chars}")
     return metric
 
 
@@ -71,12 +71,12 @@ def partial_alignment(df: DataFrame, query: str, text: str, metric: str = "ratio
 
     lang, words, options = resolve(lang, lexicon, options)
     rows = df.select(q.alias("_pq"), t.alias("_pt")).where("_pq is not null and _pt is not null").distinct()
-    asked = attach(rows, "_pq", expand(rows, words, lang, options, text="_pq"), "_q")
+    asked = attach(rows, "_pq", expand(rows, words, lang, options, text="_pq", lattices=False), "_q")
     asked = asked.withColumn("_paths", F.when(F.col("_q.paths_error").isNotNull(), F.raise_error(F.col("_q.paths_error")).cast("array<string>")).otherwise(F.col("_q.paths")))
     longest = F.array_max(F.transform("_paths", lambda p: F.char_length(p)))
-    limit = F.lit(max_span_chars) if max_span_chars else F.greatest(span_limit(F.col("_pq")), longest)
+    limit = F.lit(max_span_chars) if max_span_chars is not None else F.greatest(span_limit(F.col("_pq")), longest)
     each = asked.select("_pq", "_pt", "_paths", F.explode(spans(F.col("_pq"), F.col("_pt"), limit)).alias("x")).select("_pq", "_pt", "_paths", "x.start", "x.size", F.substring(F.col("_pt"), F.col("x.start") + 1, F.col("x.size")).alias("span"))
-    each = attach(each, "span", expand(each, words, lang, options, text="span"), "_s")
+    each = attach(each, "span", expand(each, words, lang, options, text="span", lattices=False), "_s")
     bad = F.col("_s.paths_error").isNotNull() & ~F.col("_s.unsupported")
     each = each.withColumn("_span_paths", F.when(bad, F.raise_error(F.col("_s.paths_error")).cast("array<string>")).otherwise(F.col("_s.paths"))).where("_span_paths is not null")
     alike = F.greatest(F.lit(0.0), P.best_similarity(F.col("_paths"), F.col("_span_paths")))

@@ -7,30 +7,42 @@ from pyspark.sql import functions as F
 
 from readweave.functions import paths as P
 from readweave.functions import text as X
+from readweave.functions.kernels import TRACE_CELLS
 from readweave.functions.readings import Options
 from readweave.operators.expand import attach, expand
 from readweave.sources.lexicon import Bundle, resolve
 
 
-def lattice_score(left: str, right: str, transpose: bool = False) -> Column:
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind those that the table has already."""
+    out = []
+    for x in names:
+        while x in df.columns or x in out:
+            x += "_"
+        out.append(x)
+    return out
+
+
+def lattice_score(left: str, right: str, transpose: bool = False, most: int | None = None) -> Column:
     """Least distance of the two lattices (struct columns of expansions). Sets that are written out are scored as such,
-    and only the rest goes to the lattice kernel."""
+    and only the rest goes to the lattice kernel; pairs beyond its limit are null. With `most`, searches end there, and
+    distances over it read most + 1."""
     a, b = F.col(left), F.col(right)
     both = a["lattice_paths"].isNotNull() & b["lattice_paths"].isNotNull()
-    large = ~both & a["lattice"].isNotNull() & b["lattice"].isNotNull()
-    kernel = (P.lattice_osa if transpose else P.lattice_levenshtein)(F.when(large, a["lattice"]), F.when(large, b["lattice"]))
-    small = P.osa_sets(F.when(both, a["lattice_paths"]), F.when(both, b["lattice_paths"])) if transpose else P.least_distance(a["lattice_paths"], b["lattice_paths"])
+    large = ~both & a["lattice"].isNotNull() & b["lattice"].isNotNull() & ~P.over_cells(a["lattice"], b["lattice"])
+    kernel = (P.lattice_osa if transpose else P.lattice_levenshtein)(F.when(large, a["lattice"]), F.when(large, b["lattice"]), F.lit(most).cast("int"))
+    small = P.osa_sets(F.when(both, a["lattice_paths"]), F.when(both, b["lattice_paths"])) if transpose else P.least_distance(a["lattice_paths"], b["lattice_paths"], most)
     return F.when(both, small).otherwise(kernel)
 
 
-def reading_score(left: str, right: str, left_text: str, right_text: str, metric: str) -> Column:
-    """A metric of two expansions, before cutoffs."""
+def reading_score(left: str, right: str, left_text: str, right_text: str, metric: str, most: int | None = None) -> Column:
+    """A metric of two expansions, before cutoffs; distances over `most` may read anything over it."""
     if metric == "distance":
-        return lattice_score(left, right)
+        return lattice_score(left, right, most=most)
     if metric == "damerau_distance":
-        return lattice_score(left, right, transpose=True)
+        return lattice_score(left, right, transpose=True, most=most)
     if metric == "combined_distance":
-        lped = lattice_score(left, right)
+        lped = lattice_score(left, right, most=most)
         return F.when(lped.isNotNull(), F.least(X.osa(left_text, right_text), lped))
     # the largest over path pairs; an impossible pair counts 0
     best = F.greatest(F.lit(0.0), P.best_similarity(F.col(left)["paths"], F.col(right)["paths"]))
@@ -39,8 +51,11 @@ def reading_score(left: str, right: str, left_text: str, right_text: str, metric
 
 
 def reading_error(left: str, right: str, metric: str) -> Column:
-    field = "error" if metric in X.DISTANCES else "paths_error"
-    return F.coalesce(F.col(left)[field], F.col(right)[field])
+    a, b = F.col(left), F.col(right)
+    if metric not in X.DISTANCES:
+        return F.coalesce(a["paths_error"], b["paths_error"])
+    written = a["lattice_paths"].isNotNull() & b["lattice_paths"].isNotNull()
+    return F.coalesce(a["error"], b["error"], F.when(~written & P.over_cells(a["lattice"], b["lattice"]), F.lit("the two lattices have too many node pairs")))
 
 
 def checked_error(score: Column, error: Column, on_error: str) -> Column:
@@ -49,31 +64,48 @@ def checked_error(score: Column, error: Column, on_error: str) -> Column:
     return score if on_error == "null" else F.when(error.isNotNull(), F.raise_error(error)).otherwise(score)
 
 
-def with_readings(df: DataFrame, columns: list[str], lang: str, lexicon: DataFrame, options: Options) -> DataFrame:
-    """Expand the distinct texts of all columns once, and attach _r0, _r1, ... to them in order."""
+def with_readings(df: DataFrame, columns: list[str], lang: str, lexicon: DataFrame, options: Options, metric: str = "distance") -> tuple[DataFrame, list[str]]:
+    """Expand the distinct texts of all columns once, as the metric needs it, and attach the expansions: the table, and
+    their columns' names."""
     texts = df.select(F.col(columns[0]).alias("text"))
     for c in columns[1:]:
         texts = texts.union(df.select(F.col(c)))
-    e = expand(texts, lexicon, lang, options)
-    for i, c in enumerate(columns):
-        df = attach(df, c, e, f"_r{i}")
-    return df
+    e = expand(texts, lexicon, lang, options, **needed(metric))
+    names = unused(df, *(f"_r{i}" for i in range(len(columns))))
+    for c, name in zip(columns, names):
+        df = attach(df, c, e, name)
+    return df, names
+
+
+def needed(metric: str) -> dict[str, bool]:
+    """What a metric takes of expansions: distances go by lattices, similarities by written paths."""
+    return {"lattices": metric in X.DISTANCES, "paths": metric not in X.DISTANCES}
+
+
+def new_columns(df: DataFrame, *names: str) -> None:
+    """An error where a result's column would take the place of one of the table."""
+    if taken := sorted(set(names) & set(df.columns)):
+        raise ValueError(f"the table has columns named {', '.join(taken)}; name the result's otherwise")
 
 
-def score(df: DataFrame, left: str, right: str, metric: str = "distance", *, lang: str | None = None, lexicon: DataFrame | Bundle | None = None, options: Options | None = None, score_cutoff: int | float | None = None, on_error: str = "null", out: str = "score") -> DataFrame:
-    """Add `out` to pairs. With a language or a lexicon, texts are compared through their readings, and `error` tells
-    why a score is null (with on_error="raise" the first such text fails the query). Null texts give null scores."""
+def score(df: DataFrame, left: str, right: str, metric: str = "distance", *, lang: str | None = None, lexicon: DataFrame | Bundle | None = None, options: Options | None = None, score_cutoff: int | float | None = None, on_error: str = "null", out: str = "score", error_out: str = "error") -> DataFrame:
+    """Add `out` to pairs. With a language or a lexicon, texts are compared through their readings, and `error_out` tells
+    why a score is null (with on_error="raise" the first such text fails the query). Null texts give null scores. Columns
+    of these names in the table are an error."""
     X.check_metric(metric)
     X.check_cutoff(score_cutoff, metric)
+    new_columns(df, out)
     if lang is None and lexicon is None:
         if options is not None:
             raise ValueError("reading options need a language or a lexicon")
         return df.withColumn(out, X.plain(metric)(left, right, score_cutoff))
+    new_columns(df, error_out)
     lang, words, options = resolve(lang, lexicon, options)
-    rows = with_readings(df, [left, right], lang, words, options)
-    error = reading_error("_r0", "_r1", metric)
-    value = X.apply_cutoff(reading_score("_r0", "_r1", left, right, metric), metric, score_cutoff)
-    return rows.withColumn(out, checked_error(value, error, on_error)).withColumn("error", error).drop("_r0", "_r1")
+    rows, (a, b) = with_readings(df, [left, right], lang, words, options, metric)
+    error = reading_error(a, b, metric)
+    most = score_cutoff if metric in X.DISTANCES else None
+    value = X.apply_cutoff(reading_score(a, b, left, right, metric, most), metric, score_cutoff)
+    return rows.withColumn(out, checked_error(value, error, on_error)).withColumn(error_out, error).drop(a, b)
 
 
 def within(df: DataFrame, left: str, right: str, most: int, metric: str = "distance", *, out: str = "within", **how) -> DataFrame:
@@ -86,23 +118,26 @@ def within(df: DataFrame, left: str, right: str, most: int, metric: str = "dista
 
 def compare(df: DataFrame, left: str, right: str, *, lang: str | None = None, lexicon: DataFrame | Bundle | None = None, options: Options | None = None, on_error: str = "null", out: str = "comparison") -> DataFrame:
     """Add a struct of five distances: surface_levenshtein, surface_damerau, lattice, lattice_damerau, combined."""
+    new_columns(df, out, "error")
     lang, words, options = resolve(lang, lexicon, options)
-    rows = with_readings(df, [left, right], lang, words, options)
-    error = reading_error("_r0", "_r1", "distance")
-    lped = checked_error(lattice_score("_r0", "_r1"), error, on_error)
-    rows = rows.withColumn("_lped", lped).withColumn("_osa", X.osa(left, right)).withColumn("_lattice_osa", lattice_score("_r0", "_r1", transpose=True))
-    made = F.struct(X.levenshtein(left, right).alias("surface_levenshtein"), F.col("_osa").alias("surface_damerau"), F.col("_lped").alias("lattice"), F.col("_lattice_osa").alias("lattice_damerau"), F.least("_osa", "_lped").alias("combined"))
-    return rows.withColumn(out, F.when(error.isNull() & F.col("_lped").isNotNull(), made)).withColumn("error", error).drop("_r0", "_r1", "_lped", "_osa", "_lattice_osa")
+    rows, (a, b) = with_readings(df, [left, right], lang, words, options)
+    error = reading_error(a, b, "distance")
+    lped, surface, lattice = unused(rows, "_lped", "_osa", "_lattice_osa")
+    rows = rows.withColumn(lped, checked_error(lattice_score(a, b), error, on_error)).withColumn(surface, X.osa(left, right)).withColumn(lattice, lattice_score(a, b, transpose=True))
+    made = F.struct(X.levenshtein(left, right).alias("surface_levenshtein"), F.col(surface).alias("surface_damerau"), F.col(lped).alias("lattice"), F.col(lattice).alias("lattice_damerau"), F.least(surface, lped).alias("combined"))
+    return rows.withColumn(out, F.when(error.isNull() & F.col(lped).isNotNull(), made)).withColumn("error", error).drop(a, b, lped, surface, lattice)
 
 
 def align(df: DataFrame, left: str, right: str, *, lang: str | None = None, lexicon: DataFrame | Bundle | None = None, options: Options | None = None, on_error: str = "null", out: str = "trace") -> DataFrame:
     """Add the struct `out`: the readings' distance, and the steps (op, left, right) of a best alignment."""
+    new_columns(df, out, "error")
     lang, words, options = resolve(lang, lexicon, options)
-    rows = with_readings(df, [left, right], lang, words, options)
-    error = reading_error("_r0", "_r1", "distance")
+    rows, (a, b) = with_readings(df, [left, right], lang, words, options)
     packed = lambda r: F.coalesce(F.col(r)["lattice"], P.pack_paths(F.col(r)["lattice_paths"]))
-    made = F.when(packed("_r0").isNotNull() & packed("_r1").isNotNull(), P.trace_kernel(packed("_r0"), packed("_r1")))
-    return rows.withColumn(out, checked_error(made, error, on_error)).withColumn("error", error).drop("_r0", "_r1")
+    over = P.over_cells(packed(a), packed(b), TRACE_CELLS)
+    error = F.coalesce(reading_error(a, b, "distance"), F.when(over, F.lit("the two lattices have too many node pairs")))
+    made = F.when(packed(a).isNotNull() & packed(b).isNotNull() & ~over, P.trace_kernel(F.when(~over, packed(a)), packed(b)))
+    return rows.withColumn(out, checked_error(made, error, on_error)).withColumn("error", error).drop(a, b)
 
 
 def zero_distance_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, *, lang: str, lexicon: DataFrame | Bundle | None = None, options: Options | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -202,8 +203,29 @@ def check_lexicon(lexicon: DataFrame, lang: str) -> int:
 HEADER = "readweave.lexicon/v1"
 
 
-def save_bundle(lexicon: DataFrame, path: str, *, lang: str, name: str, source: str = "", view: str | None = None, defaults: Options | None = None, license_refs: list[str] | None = None) -> dict:
-    """Write the Parquet payload and its metadata; returns the metadata."""
+def _hadoop(spark: SparkSession, path: str):
+    """A path with its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def file_digests(spark: SparkSession, folder: str) -> dict[str, str]:
+    """SHA-256 of each data file of a folder, by name. Files are read by the executors; a payload has few."""
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest"))
+    return {r["name"]: r["digest"] for r in files.where(~F.col("name").startswith("_") & ~F.col("name").startswith(".")).orderBy("name").collect()}
+
+
+def inside(folder: str, path: str) -> str:
+    """A path that a bundle names, within the bundle's folder; an error where it leads out."""
+    parts = path.split("/")
+    if not path or path.startswith("/") or ":" in path or "\\" in path or ".." in parts:
+        raise LexiconError(f"{path!r} leads out of the bundle")
+    return f"{folder.rstrip('/')}/{path}"
+
+
+def save_bundle(lexicon: DataFrame, path: str, *, lang: str, name: str, source: str = "", view: str | None = None, defaults: Options | None = None, license_refs: list[dict[str, str]] | None = None) -> dict:
+    """Write the Parquet payload and its metadata; returns the metadata. `license_refs` are {label, path} of files that
+    stand, or will stand, in the bundle's folder."""
     if lang not in MAX_ENTRIES:
         raise ValueError("lang must be 'ja' or 'zh'")
     spark = lexicon.sparkSession
@@ -212,6 +234,7 @@ def save_bundle(lexicon: DataFrame, path: str, *, lang: str, name: str, source:
     meta = {
         "schema_version": 1, "lang": lang, "name": name, "source": source, "pinyin_view": view, "entries": check_lexicon(stored, lang), "checksum_algorithm": "sha256-canonical-v1",
         "checksum": canonical_checksum(stored, HEADER, view), "defaults": vars(defaults or Options()), "license": license_refs or [],
+        "payload": {"path": "payload", "file_digest_algorithm": "sha256-file-v1", "files": file_digests(spark, f"{path}/payload")},
     }
     spark.createDataFrame([(json.dumps(meta, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
     return meta
@@ -227,12 +250,26 @@ class Bundle:
 
 
 def load_bundle(spark: SparkSession, path: str, *, lang: str | None = None, verify: bool = True) -> Bundle:
+    """A stored lexicon. Paths that its metadata names must lie in its folder, and the license files must be there. With
+    `verify`, so must exactly the payload files that the metadata lists, unchanged, and entries and checksum must agree.
+    Metadata without file digests (older bundles) is checked by entries and checksum alone."""
     meta = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
     if meta.get("schema_version") != 1 or meta.get("lang") not in MAX_ENTRIES:
         raise LexiconError("unknown bundle")
     if lang is not None and meta["lang"] != lang:
         raise LexiconError(f"a bundle for {meta['lang']}, not {lang}")
-    lexicon = spark.read.schema(SCHEMA).parquet(f"{path}/payload")
+    for ref in meta.get("license") or []:
+        place, store = _hadoop(spark, inside(path, ref["path"]))
+        if not store.exists(place):
+            raise LexiconError(f"the license file of {ref.get('label')} is missing")
+    payload = meta.get("payload") or {"path": "payload"}
+    folder = inside(path, payload["path"])
+    if verify and "files" in payload:
+        if payload.get("file_digest_algorithm") != "sha256-file-v1":
+            raise LexiconError(f"unknown file digest {payload.get('file_digest_algorithm')!r}")
+        if file_digests(spark, folder) != payload["files"]:
+            raise LexiconError("the digests of the payload's files differ from the metadata")
+    lexicon = spark.read.schema(SCHEMA).parquet(folder)
     if verify:
         if check_lexicon(lexicon, meta["lang"]) != meta["entries"]:
             raise LexiconError("the number of entries differs from the metadata")
@@ -241,14 +278,25 @@ def load_bundle(spark: SparkSession, path: str, *, lang: str | None = None, veri
     return Bundle(lexicon, meta)
 
 
+def write_payload(lexicon: DataFrame, path: str, *, payload_type: str, view: str | None = None) -> None:
+    """A payload file as `read_payload` takes it: JSON, which is YAML too, with an entry in each line, in the order of the
+    surfaces. The folder `path` has the one file."""
+    head = json.dumps({"schema_version": 1, "payload_type": payload_type, **({"pinyin_view": view} if view else {})}, ensure_ascii=False)[:-1] + ', "entries": ['
+    first = lexicon.agg(F.min("surface").alias("first"))
+    entry = F.to_json(F.struct("surface", "readings"))
+    rows = lexicon.crossJoin(F.broadcast(first)).select(F.lit(1).alias("part"), "surface", F.when(F.col("surface") == F.col("first"), entry).otherwise(F.concat(F.lit(","), entry)).alias("value"))
+    spark = lexicon.sparkSession
+    ends = spark.createDataFrame([(0, None, head), (2, None, "]}")], "part int, surface string, value string")
+    rows.union(ends).orderBy("part", "surface").select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
 def list_bundles(spark: SparkSession, root: str) -> list[tuple[str, dict]]:
     """(path, metadata) of the bundles in a folder, in the order of their names."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(root)
-    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folder, store = _hadoop(spark, root)
     if not store.exists(folder):
         return []
-    paths = sorted(f.getPath().toString() for f in store.listStatus(folder) if f.isDirectory() and store.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "metadata")))
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    paths = sorted(f.getPath().toString() for f in store.listStatus(folder) if f.isDirectory() and store.exists(make(f.getPath(), "metadata")))
     return [(p, json.loads(spark.read.text(f"{p}/metadata").first()["value"])) for p in paths]
 
 
@@ -263,27 +311,54 @@ def file_digest(path: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
+#: Folders of bundles in which default lexicons are looked for, separated like search paths
+ROOTS = "READWEAVE_LEXICONS"
+#: The names that calls know lexicons by, and their languages
+NAMES = {"ja": "ja", "ja-unidic": "ja", "ja-sudachi": "ja", "zh": "zh"}
 _defaults: dict[str, Bundle] = {}
 
 
-def set_default(bundle: Bundle) -> None:
-    """Use a bundle where a call names its language only."""
-    _defaults[bundle.lang] = bundle
+def check_lang(lang: str) -> str:
+    """The language of a name; `ja-unidic` and `ja-sudachi` tell which Japanese lexicon is meant."""
+    if not isinstance(lang, str):
+        raise TypeError("the language is a str")
+    if lang not in NAMES:
+        raise ValueError(f"the language is one of {', '.join(NAMES)}, not {lang!r}")
+    return NAMES[lang]
 
 
-def get_default(lang: str) -> Bundle | None:
-    return _defaults.get(check_lang(lang))
+def set_default(bundle: Bundle, name: str | None = None) -> None:
+    """Use a bundle where a call gives a name only: its language, or one of the names that tell lexicons apart."""
+    if name is not None and check_lang(name) != bundle.lang:
+        raise ValueError(f"{name!r} is no name for a lexicon of {bundle.lang}")
+    _defaults[name or bundle.lang] = bundle
 
 
-def clear_default(lang: str | None = None) -> None:
-    _defaults.clear() if lang is None else _defaults.pop(check_lang(lang), None)
+def get_default(name: str) -> Bundle | None:
+    """The bundle that was set for a name; `ja` and `ja-unidic` stand for each other."""
+    check_lang(name)
+    return _defaults.get(name) or _defaults.get({"ja": "ja-unidic", "ja-unidic": "ja"}.get(name, ""))
 
 
-def check_lang(lang: str) -> str:
-    known = {"ja": "ja", "ja-unidic": "ja", "zh": "zh"}
-    if lang not in known:
-        raise ValueError("lang must be 'ja' or 'zh'")
-    return known[lang]
+def clear_default(name: str | None = None) -> None:
+    if name is None:
+        _defaults.clear()
+        return
+    check_lang(name)
+    _defaults.pop(name, None)
+
+
+def find_default(spark: SparkSession, name: str) -> Bundle | None:
+    """The bundle for a name: the one that was set, else the first in the folders of $READWEAVE_LEXICONS, whose source
+    names Sudachi exactly if the name does. What is found is verified, and kept as the name's default."""
+    if (known := get_default(name)) is not None:
+        return known
+    for root in filter(None, os.environ.get(ROOTS, "").split(os.pathsep)):
+        for path, meta in list_bundles(spark, root):
+            if meta.get("lang") == check_lang(name) and ("sudachi" in str(meta.get("source")).lower()) == (name == "ja-sudachi"):
+                set_default(load_bundle(spark, path), name)
+                return _defaults[name]
+    return None
 
 
 def resolve(lang: str | None, lexicon: DataFrame | Bundle | None, options: Options | None) -> tuple[str, DataFrame, Options]:
@@ -296,7 +371,8 @@ def resolve(lang: str | None, lexicon: DataFrame | Bundle | None, options: Optio
         if lang is None:
             raise ValueError("a lexicon needs its language")
         return check_lang(lang), lexicon, options or Options()
-    bundle = get_default(lang)
+    spark = SparkSession.getActiveSession()
+    bundle = find_default(spark, lang) if spark is not None else get_default(lang)
     if bundle is None:
-        raise LookupError(f"no default lexicon for {lang}; set one, or pass one")
+        raise LookupError(f"no default lexicon for {lang}; set one, pass one, or name a folder of bundles in ${ROOTS}")
     return bundle.lang, bundle.lexicon, options or bundle.options

@@ -284,3 +284,75 @@ def test_graphviz():
     text = pair_dot("いんさt", "印刷", "ja", JA)
     assert text.index("印刷") < text.index("いんさt") and text.count("color=red") == 11
     assert "digraph" in pair_dot("weishiji", "威士忌", "zh", ZH)
+
+
+def test_bundles_with_damage(spark, tmp_path, zh):
+    """Changed files, paths that lead out, and missing license files."""
+    import json
+    import pathlib
+    import shutil
+
+    path = tmp_path / "b"
+    L.save_bundle(zh, str(path), lang="zh", name="b", view="no-tone", license_refs=[{"label": "CC", "path": "license/CC.md"}])
+    with pytest.raises(L.LexiconError, match="license file of CC"):
+        L.load_bundle(spark, str(path))
+    (path / "license").mkdir()
+    (path / "license" / "CC.md").write_text("x")
+    assert L.load_bundle(spark, str(path)).lang == "zh"
+    note = next(pathlib.Path(path / "metadata").glob("part-*"))
+    meta = json.loads(note.read_text())
+
+    def changed(**x) -> str:
+        at = tmp_path / "changed"
+        shutil.rmtree(at, ignore_errors=True)
+        shutil.copytree(path, at)
+        for f in (at / "metadata").glob("*"):
+            f.unlink()
+        for f in (at / "metadata").glob(".*"):
+            f.unlink()
+        (at / "metadata" / "part-0.txt").write_text(json.dumps(meta | x))
+        return str(at)
+
+    assert L.load_bundle(spark, changed()).meta["name"] == "b"
+    files = {k: "0" * 64 for k in meta["payload"]["files"]}
+    with pytest.raises(L.LexiconError, match="digests"):
+        L.load_bundle(spark, changed(payload=meta["payload"] | {"files": files}))
+    for bad in ("../payload", "/payload", "a/../../b", "file:/x", ""):
+        with pytest.raises(L.LexiconError, match="leads out"):
+            L.load_bundle(spark, changed(payload=meta["payload"] | {"path": bad}))
+    assert L.load_bundle(spark, changed(payload=None)).meta["payload"] is None  # older bundles
+
+
+def test_names_of_lexicons(spark, tmp_path, ja, monkeypatch):
+    L.clear_default()
+    L.save_bundle(ja, str(tmp_path / "a"), lang="ja", name="a", source="UniDic")
+    L.save_bundle(ja.where("surface = '印刷'"), str(tmp_path / "b"), lang="ja", name="b", source="SudachiDict")
+    df = spark.createDataFrame([("insatu", "印刷")], "l string, r string")
+    with pytest.raises(LookupError):
+        score(df, "l", "r", lang="ja-sudachi")
+    monkeypatch.setenv(L.ROOTS, str(tmp_path))
+    assert score(df, "l", "r", lang="ja-sudachi").first()["score"] == 0 and L.get_default("ja-sudachi").meta["name"] == "b"
+    assert score(df, "l", "r", lang="ja").first()["score"] == 0 and L.get_default("ja-unidic").meta["name"] == "a"
+    L.clear_default()
+    with pytest.raises(ValueError):
+        L.check_lang("ko")
+    with pytest.raises(TypeError):
+        L.check_lang(None)
+
+
+def test_payloads_round(spark, tmp_path, zh):
+    L.write_payload(zh, str(tmp_path / "p"), payload_type="x", view="no-tone")
+    got, view = L.read_payload(spark, str(tmp_path / "p"), lang="zh")
+    assert view == "no-tone" and {r["surface"]: r["readings"] for r in got.collect()} == ZH
+
+
+def test_lattices_over_the_limit(spark, ja):
+    """Pairs that no kernel takes have no score and say why; others of the same table are scored."""
+    df = spark.createDataFrame([("シ" * 1500, "シ" * 1500), ("し", "shi")], "l string, r string")
+    got = {len(r["l"]): r for r in score(df, "l", "r", lang="ja", lexicon=ja).collect()}
+    assert got[1]["score"] == 0 and got[1]["error"] is None
+    assert got[1500]["score"] is None and "node pairs" in got[1500]["error"]
+    with pytest.raises(ValueError):
+        score(df.withColumn("error", F.lit(1)), "l", "r", lang="ja", lexicon=ja)
+    kept = score(df.withColumn("error", F.lit(1)), "l", "r", lang="ja", lexicon=ja, error_out="why")
+    assert {"error", "why", "score"} <= set(kept.columns)

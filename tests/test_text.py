@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,57 @@ def test_scores_in_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("scored").first()["d"] == 1
+
+
+def test_lattice_search_with_cutoffs():
+    """The search ends beyond the cutoff, and sees fewer node pairs than the whole table has."""
+    r = np.random.default_rng(8)
+    for _ in range(60):
+        a, b = ([("".join(r.choice(list("abc"), r.integers(1, 6)))) for _ in range(3)] for _ in range(2))
+        x, y = K.Lattice.of_paths(a), K.Lattice.of_paths(b)
+        for transpose in (False, True):
+            d = min(brute(p, q, transpose) for p in a for q in b)
+            assert K.lattice_distance(x, y, transpose) == d
+            for most in range(6):
+                assert K.lattice_distance(x, y, transpose, most) == (d if d <= most else None)
+
+
+def test_minimal_lattices_where_a_path_begins_another():
+    x = K.Lattice.of_paths(["ab", "abc", "abcd", "xbcd"])
+    assert x.paths(10) == ["ab", "abc", "abcd", "xbcd"]
+    assert len(x.arcs) < len(K.Lattice.parallel(["ab", "abc", "abcd", "xbcd"]).arcs)
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        some = sorted({"".join(r.choice(list("ab"), r.integers(1, 5))) for _ in range(6)})
+        assert K.Lattice.of_paths(some).paths(100) == some
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_within_join_of_alike_and_long_strings(spark, most):
+    """Strings that share most of themselves, and strings over the length that deletions are written out for."""
+    r = np.random.default_rng(5)
+    some = ["Supplier#" + f"{i:04d}" for i in range(60)] + ["", "a", "b", "ab"]
+    some += ["x" * 63 + "".join(r.choice(list("xy"), 4)) for _ in range(15)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(some)] + [(None, None)], "i long, t string")
+    got = within_join(df.toDF("a", "l"), df.toDF("b", "r"), "l", "r", most).select("a", "b", "distance").collect()
+    want = {(i, j, d) for i, x in enumerate(some) for j, y in enumerate(some) if (d := brute(x, y, False)) <= most}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_names_that_clash(spark):
+    a = spark.createDataFrame([(1, "ab", "p")], "id long, query string, choice string")
+    b = spark.createDataFrame([(2, "abc", "q")], "id long, choice string, query string")
+    r = cdist(a, b).first()
+    assert (r["id"], r["id_choice"], r["query"], r["choice"], r["choice_query"], r["query_choice"], r["score"]) == (1, 2, "ab", "abc", "p", "q", 1)
+    with pytest.raises(ValueError):
+        cdist(a, b.withColumnRenamed("id", "score"))
+
+
+def test_spans_have_a_character(spark):
+    df = spark.createDataFrame([("a", "b")], "q string, t string")
+    for bad in ({"max_span_chars": 0}, {"metric": "osa"}):
+        with pytest.raises(ValueError):
+            partial_alignment(df, "q", "t", **bad)
+    for bad in ({"max_span_chars": True}, {"metric": 1}):
+        with pytest.raises(TypeError):
+            partial_alignment(df, "q", "t", **bad)
