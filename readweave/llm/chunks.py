@@ -85,7 +85,13 @@ def chunked(docs: DataFrame, text: str = "text", most: int = CHUNK_BYTES) -> Dat
 
 def spread(chunks: DataFrame) -> DataFrame:
     """The chunk table with a task's share of rows in each partition."""
-    return chunks.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return chunks.repartition(share(chunks))
+
+
+def share(chunks: DataFrame) -> int:
+    """Partitions of steps that go chunk by chunk: two for each chunk, so few tasks have several. A chunk's row is a pointer,
+    so its size doesn't tell the work, and adaptive plans would put all chunks into one task."""
+    return max(1, 2 * chunks.count())
 
 
 def load(file: str, at: int, size: int) -> pa.Table:
