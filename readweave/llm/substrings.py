@@ -9,15 +9,18 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from readweave.llm import text as T
-from readweave.llm.chunks import CHUNK_BYTES, bucket_cuts, chunked, load, load_row, spread, words_and_hashes
-from readweave.llm.tables import buckets, stash, table
+from readweave.llm.chunks import CHUNK_BYTES, bucket_cuts, chunked, load, load_row, share, spread, words_and_hashes
+from readweave.llm.tables import stash, table
 
 WINDOW = 20
 EDGE = 8
 NULL_ID = 2**63 - 1
+#: Tasks among which a chunk's spans are dealt to be verified
+SHARES = 8
 
 
 class Graph:
@@ -52,10 +55,11 @@ class Graph:
         self.run_doc = doc[at]
 
 
-def repeated_spans(docs: DataFrame, chunks: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
+def repeated_spans(chunks: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
     """Spans (chunk, doc, start, size, source_chunk, source_doc, source_start): `size` windows of a document which start
     earlier at the source, word for word by their hashes."""
-    nb = buckets(docs.sparkSession)
+    parts = share(chunks)
+    nb = max(1, parts // 2)
 
     def graph(rows: pa.Table) -> Graph:
         return Graph(rows, doc_id, text, window)
@@ -79,10 +83,13 @@ def repeated_spans(docs: DataFrame, chunks: DataFrame, doc_id: str, text: str, w
         ends = np.cumsum([0, *map(len, asked)])
         return pa.table({"chunk": group["chunk"], "bucket": group["bucket"], "yes": pa.array([np.packbits(yes[a:b]).tobytes() for a, b in zip(ends, ends[1:])], pa.binary())})
 
-    answers = spread(chunks).mapInArrow(ask_edges, "bucket int, chunk long, edges binary, many binary").groupBy("bucket").applyInArrow(repeated, "chunk long, bucket int, yes binary")
+    by_bucket = lambda df: df.repartition(parts, "bucket").groupBy("bucket")
+    by_chunk = lambda df: df.repartition(parts, "chunk").groupBy("chunk")
+    answers = by_bucket(spread(chunks).mapInArrow(ask_edges, "bucket int, chunk long, edges binary, many binary")).applyInArrow(repeated, "chunk long, bucket int, yes binary")
 
     def runs(own: pa.Table, said: pa.Table) -> pa.Table:
-        """A chunk's runs at repeated edges. Of runs alike in a chunk, the earliest asks; the others name it as their source."""
+        """A chunk's runs at repeated edges. Of runs alike in a chunk, the earliest ask (several, where rows share an id);
+        the others name the first as their source."""
         chunk = own["chunk"][0].as_py()
         g = graph(load_row(own))
         one = np.unique(g.run_edge)
@@ -104,9 +111,8 @@ def repeated_spans(docs: DataFrame, chunks: DataFrame, doc_id: str, text: str, w
         head[1:] = alike[by][1:] != alike[by][:-1]
         lead_of = np.empty(len(by), np.int64)
         lead_of[by] = by[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))]
-        me = np.arange(len(by))
-        later = (lead_of != me) & ((ids != ids[lead_of]) | (place != place[lead_of]))
-        asks = np.sort(by[head])
+        later = (ids != ids[lead_of]) | (place != place[lead_of])
+        asks = np.flatnonzero(~later)
         order, cut = bucket_cuts(edge[asks], nb)
         asks = asks[order]
         rows = {"bucket": [], "chunk": [], "doc": [], "source": [], "runs": []}
@@ -131,7 +137,7 @@ def repeated_spans(docs: DataFrame, chunks: DataFrame, doc_id: str, text: str, w
             put(-1 - int(chunk % most), np.flatnonzero(later), True)
         return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "chunk": pa.array(rows["chunk"], pa.int64()), "n": pa.array(rows["doc"], pa.int32()), "local": pa.array(rows["source"], pa.bool_()), "runs": pa.array(rows["runs"], pa.binary())})
 
-    asked = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(runs, "bucket int, chunk long, n int, local boolean, runs binary")
+    asked = by_chunk(chunks).cogroup(by_chunk(answers)).applyInArrow(runs, "bucket int, chunk long, n int, local boolean, runs binary")
 
     def sources(group: pa.Table) -> pa.Table:
         """The earliest occurrence of each window of a bucket's edges; consecutive windows with consecutive sources are one path."""
@@ -178,21 +184,22 @@ def repeated_spans(docs: DataFrame, chunks: DataFrame, doc_id: str, text: str, w
 
     names = ["chunk", "doc", "start", "size", "source_chunk", "source_doc", "source_start"]
     schema = ", ".join(f"{k} long" for k in names)
-    paths = asked.groupBy("bucket").applyInArrow(sources, schema)
-
-    def compact(group: pa.Table) -> pa.Table:
-        """Join runs end to end where both the document and the source go on."""
-        c = {k: group[k].to_numpy() for k in names}
-        by = np.lexsort((c["start"], c["doc"]))
-        c = {k: v[by] for k, v in c.items()}
-        new = np.ones(len(by), bool)
-        ends = c["start"] + c["size"]
-        new[1:] = (c["doc"][1:] != c["doc"][:-1]) | (c["start"][1:] != ends[:-1]) | (c["source_chunk"][1:] != c["source_chunk"][:-1]) | (c["source_doc"][1:] != c["source_doc"][:-1]) | (c["source_start"][1:] != (c["source_start"] + c["size"])[:-1])
-        at = np.flatnonzero(new)
-        size = np.add.reduceat(c["size"], at) if len(at) else c["size"]
-        return pa.table({k: pa.array(size if k == "size" else v[at]) for k, v in c.items()})
+    return compacted(by_bucket(asked).applyInArrow(sources, schema), parts)
+
 
-    return paths.groupBy("chunk").applyInArrow(compact, schema)
+def compacted(spans: DataFrame, parts: int) -> DataFrame:
+    """Join spans end to end where both the document and the source go on.
+
+    A span is an edge from the node (place, source) of its first window to the node behind its last one. A window has one
+    source, so no node has two edges in or two out: a node with one of each lies within a path and cancels out, and the
+    others are, in turn, the first and the last nodes of paths. One shuffle by chunk serves both steps.
+    """
+    path = ["chunk", "doc", "source_chunk", "source_doc", "diagonal"]
+    edges = spans.repartition(parts, "chunk").withColumn("diagonal", F.col("source_start") - F.col("start"))
+    ends = F.array(F.struct(F.col("start").alias("place"), F.lit(1).alias("degree")), F.struct((F.col("start") + F.col("size")).alias("place"), F.lit(-1).alias("degree")))
+    nodes = edges.select(*path, F.explode(ends).alias("n")).groupBy(*path, F.col("n.place").alias("place")).agg(F.sum("n.degree").alias("degree")).where("degree <> 0")
+    nodes = nodes.withColumn("size", F.lead("place").over(Window.partitionBy(*path).orderBy("place")) - F.col("place")).where("degree > 0")
+    return nodes.select("chunk", "doc", F.col("place").alias("start"), "size", "source_chunk", "source_doc", (F.col("place") + F.col("diagonal")).alias("source_start"))
 
 
 def span_hashes(docs: T.Docs, doc: np.ndarray, start: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -207,9 +214,10 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_
     """Documents without the words of windows (of `window` consecutive words) that start earlier in the corpus: in a
     document with a smaller doc_id, or earlier in the same one. Windows are judged on the input.
 
-    Rounds between chunks and buckets find the k-mer edges with two occurrences, the source of each window at such an
-    edge, and paths of windows with consecutive sources; the paths are joined to the chunks that hold their sources, and
-    on to their own, where the hashes of the words at both coordinates (by another function) must agree.
+    Rounds between chunks and buckets find the k-mer edges with two occurrences and the source of each window at such an
+    edge; Spark counts the degrees of the nodes between runs of windows and compacts nonbranching paths (`compacted`). The
+    paths are joined to the chunks that hold their sources, and on to their own, where the hashes of the words at both
+    coordinates (by another function) must agree. Ids are cast to long.
 
     Returns the input's columns with `text` cut: what stays between removed words is unchanged, removed spans leave one
     space. With `digest`: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space).
@@ -219,7 +227,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")) if digest else docs
     key, body = ("doc_id", "text") if digest else (doc_id, text)
     chunks = chunked(rows, body, chunk_bytes)
-    spans = stash(repeated_spans(docs, chunks, key, body, window), "spans")
+    spans = stash(repeated_spans(chunks, key, body, window), "spans")
 
     origin = ["source_chunk", "source_doc", "source_start", "size"]
 
@@ -227,12 +235,17 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_
         if not own.num_rows or not asked.num_rows:
             return pa.table({k: pa.array([], pa.int64()) for k in [*origin, "hash"]})
         words = asked["size"].to_numpy() + window - 1
-        h = span_hashes(T.docs_of(load_row(own)[body]), asked["source_doc"].to_numpy(), asked["source_start"].to_numpy(), words)
+        these, doc = np.unique(asked["source_doc"].to_numpy(), return_inverse=True)
+        some = T.docs_of(load_row(own)[body].take(pa.array(these)))
+        h = span_hashes(some, doc, asked["source_start"].to_numpy(), words)
         return pa.table({**{k: asked[k] for k in origin}, "hash": pa.array(T.signed(h))})
 
-    # many copies have one source span: its hash is taken once, and joined to them
-    asked = spans.select(*origin).distinct()
-    hashed = chunks.groupBy("chunk").cogroup(asked.groupBy("source_chunk")).applyInArrow(at_source, ", ".join(f"{k} long" for k in [*origin, "hash"]))
+    # many copies have one source span: its hash is taken once, and joined to them; a chunk that many have as their source
+    # is read by several tasks, each for some of its spans
+    parts = share(chunks)
+    asked = spans.select(*origin).distinct().withColumn("share", F.pmod(F.xxhash64("source_doc", "source_start"), F.lit(SHARES)).cast("int"))
+    dealt = chunks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    hashed = dealt.repartition(parts, "chunk", "share").groupBy("chunk", "share").cogroup(asked.repartition(parts, "source_chunk", "share").groupBy("source_chunk", "share")).applyInArrow(at_source, ", ".join(f"{k} long" for k in [*origin, "hash"]))
     checked = spans.join(hashed, origin).selectExpr("chunk", "doc", "start", f"size + {window - 1} as words", "hash")
 
     def cut(own: pa.Table, got: pa.Table) -> pa.Table:
@@ -275,7 +288,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_
         return data.set_column(data.schema.get_field_index(body), body, new)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" if digest else rows.schema
-    return chunks.groupBy("chunk").cogroup(checked.groupBy("chunk")).applyInArrow(cut, schema)
+    return chunks.repartition(parts, "chunk").groupBy("chunk").cogroup(checked.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(cut, schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,6 +232,26 @@ def test_substrings_of_repeated_ids(spark):
     assert sorted((r["doc_id"] or 99, r["n_removed"]) for r in got) == [(1, 0), (1, 0), (2, 25), (99, 25)]
 
 
+@pytest.mark.parametrize("chunk_bytes", [1, 300, 1200, 8_000_000])
+def test_substrings_by_chunks_of_any_size(spark, chunk_bytes):
+    """Repeated rows, windows that start again within a document, and long copies: the same whatever the chunks are."""
+    r = np.random.default_rng(1)
+    some = [" ".join(f"w{x}" for x in r.integers(0, 500, 80)) for _ in range(6)]
+    rows_ = [(1, some[0]), (2, some[1]), (3, some[2] + " " + some[1]), (4, some[3]), (5, some[0]), (5, some[0]), (6, some[4] + " x " + some[4]), (7, some[1] + " " + some[0]), (7, None), (8, "")]
+    seen, want = {}, []
+    for i, t in rows_:
+        w = corpus.words(t)
+        for j in range(len(w) - 19):
+            seen.setdefault(tuple(w[j : j + 20]), []).append((i, j))
+    for i, t in rows_:
+        w = corpus.words(t)
+        gone = {k for j in range(len(w) - 19) if min(seen[tuple(w[j : j + 20])]) < (i, j) for k in range(j, j + 20)}
+        kept = [x for k, x in enumerate(w) if k not in gone]
+        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    df = spark.createDataFrame(rows_, "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, substrings.remove_repeats(df, digest=True, chunk_bytes=chunk_bytes).collect())) == sorted(want)
+
+
 def brute_groups(some, percent):
     sets = [corpus.shingles(t) for t in some]
     parent = list(range(len(some)))
