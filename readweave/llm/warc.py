@@ -26,26 +26,31 @@ DICTIONARY_FRAME = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 DICTIONARY_BYTES = 64 * 1024
+#: Bounds of the dictionary's sample: records, and characters of their pages in all
 SAMPLE_RECORDS = 400
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 8_000_000
+#: A task begins another file when one has this many bytes
+FILE_BYTES = 1 << 30
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_uri(page_id: int | None, place: str = "") -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}{place}')}>"
+def record_uri(page_id: int | None, row: int = 0) -> str:
+    """A record's own id: `row` tells rows apart that share a page_id."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{row}')}>"
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None = None) -> bytes:
-    """One WARC/1.1 record. Response and revisit blocks are HTTP messages; a revisit has the header alone."""
+def record(kind: str, page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None = None, row: int = 0, first_row: int = 0) -> bytes:
+    """One WARC/1.1 record. Response and revisit blocks are HTTP messages; a revisit has the header alone, and names the
+    record of `first_row`."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if kind == "revisit" else http + payload
     target = "".join(c for c in (url or "about:blank") if c not in "\r\n")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_uri(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{sha1}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Bytes: {len(payload)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_uri(page_id, row)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{sha1}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Bytes: {len(payload)}"]
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_uri(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_uri(refers_to, first_row)}", f"X-Refers-To-Page-ID: {refers_to}"]
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -69,10 +74,10 @@ def dictionary_frame(dictionary: bytes) -> bytes:
     return struct.pack("<II", DICTIONARY_FRAME, len(packed)) + packed
 
 
-def build_dictionary(payloads: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A trained dictionary; too few or too small records give none."""
+def build_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """A dictionary from whole records, as they are archived; too few or too small ones give none."""
     try:
-        return zstandard.train_dictionary(size, payloads).as_bytes()
+        return zstandard.train_dictionary(size, records).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -108,26 +113,37 @@ def frames(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
         raise ValueError("a file that was cut short")
 
 
-def sample_payloads(pages: DataFrame, page_id: str, html: str) -> list[bytes]:
-    """Up to SAMPLE_RECORDS payloads of up to SAMPLE_CHARS characters: those with the smallest hashes of their ids."""
-    some = pages.select(F.xxhash64(page_id).alias("h"), F.col(page_id).alias("p")).orderBy("h", "p").limit(SAMPLE_RECORDS)
-    ids = [r["p"] for r in some.select("p").collect()]
-    rows = pages.where(F.col(page_id).isin(ids)).select(F.col(page_id).alias("p"), F.substring(html, 1, SAMPLE_CHARS).alias("t")).limit(2 * SAMPLE_RECORDS).collect()
-    return [t.encode() for _, t in sorted(((r["p"], r["t"]) for r in rows if r["t"]), key=lambda x: (x[0] is None, x[0] or 0, x[1]))]
-
-
-def write_warcs(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, level: int = 3, dictionary: bytes | None = None) -> DataFrame:
+def sample_records(pages: DataFrame, page_id: str, url: str, html: str, *, records: int = SAMPLE_RECORDS, chars: int = SAMPLE_CHARS) -> list[bytes]:
+    """Whole response records of up to `records` pages, of `chars` characters in all: those with the smallest hashes of
+    their ids, passing over pages that don't fit any more. Of rows that share an id, one at most."""
+    some = pages.where(F.col(page_id).isNotNull()).select(F.xxhash64(page_id).alias("h"), F.col(page_id).alias("p"), F.char_length(html).alias("n"))
+    ids, left = [], chars
+    for r in some.groupBy("h", "p").agg(F.max("n").alias("n")).orderBy("h", "p").limit(records).collect():
+        if r["n"] and r["n"] <= left:
+            ids.append(r["p"])
+            left -= r["n"]
+    rows = pages.where(F.col(page_id).isin(ids)).groupBy(F.col(page_id).alias("p")).agg(F.min(F.struct(F.col(html).alias("t"), F.col(url).cast("string").alias("u"))).alias("x")).select("p", "x.*").collect()
+    out = []
+    for p, t, u in sorted(map(tuple, rows), key=lambda x: x[0]):
+        payload = (t or "").encode("utf-8", "surrogatepass")
+        out.append(record("response", p, u, payload, digest(payload)))
+    return out
+
+
+def write_warcs(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, level: int = 3, dictionary: bytes | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write a record for each page to files under `path`: the manifest (file, records, bytes).
 
     Each task of the scan compresses its pages as response records, once, and these frames, not the pages, are dealt to
     the files. Of pages with equal payloads (by SHA-1 and length) of at least `least` bytes, the one with the smallest
     page_id stays a response, and the others become revisits of it; smaller payloads all stay responses. Null html is an
     empty payload. A null page_id comes after all others; among rows that share the smallest page_id, one is the response.
+    Ids are cast to long. A file ends with the record that brings it to `file_bytes`. The dictionary, unless given, comes
+    from whole records of a bounded sample (`sample_records`).
     """
     spark = pages.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if dictionary is None:
-        dictionary = build_dictionary(sample_payloads(pages, page_id, html))
+        dictionary = build_dictionary(sample_records(pages, page_id, url, html))
     rows = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), pages[html].alias("html"))
 
     def compressor(level: int) -> zstandard.ZstdCompressor:
@@ -145,7 +161,7 @@ def write_warcs(pages: DataFrame, path: str, *, page_id: str = "page_id", url: s
                 for p, u, h in zip(*(c.to_pylist() for c in batch.slice(a, 256).columns)):
                     payload = (h or "").encode("utf-8", "surrogatepass")
                     sha1 = digest(payload)
-                    for c, v in zip(out, (number, p, u, len(payload), sha1, squeezer.compress(record("response", p, u, payload, sha1)))):
+                    for c, v in zip(out, (number, p, u, len(payload), sha1, squeezer.compress(record("response", p, u, payload, sha1, row=number)))):
                         c.append(v)
                     number += 1
                 types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
@@ -154,28 +170,34 @@ def write_warcs(pages: DataFrame, path: str, *, page_id: str = "page_id", url: s
     squeezed = stash(rows.mapInArrow(squeeze, "row long, page_id long, url string, size long, sha1 string, frame binary"), "frames")
     keys = squeezed.select("row", "page_id", "sha1", "size")
     first = keys.where(F.col("size") >= least).groupBy("sha1", "size").agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull(), "page_id", "row")).alias("x")).where("n > 1").select("sha1", "size", F.col("x.page_id").alias("refers_to"), F.col("x.row").alias("first_row"))
-    again = keys.join(first, ["sha1", "size"]).where(F.col("row") != F.col("first_row")).select("row", "refers_to", F.lit(True).alias("revisit"))
+    again = keys.join(first, ["sha1", "size"]).where(F.col("row") != F.col("first_row")).select("row", "refers_to", "first_row")
     # equal payloads' frames can differ in their headers only; a revisit drops its frame before the join
-    plain = squeezed.join(again, "row", "left").select("row", "page_id", "url", "size", "sha1", F.when(F.col("revisit").isNull(), F.col("frame")).alias("frame"), "refers_to")
+    plain = squeezed.join(again, "row", "left").select("row", "page_id", "url", "size", "sha1", F.when(F.col("first_row").isNull(), F.col("frame")).alias("frame"), "refers_to", "first_row")
     dealt = plain.repartition(n, "row").sortWithinPartitions("row")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name = f"{path}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.zst"
         squeezer = compressor(level)
-        out = None
+        task, name, out = TaskContext.get().partitionId(), "", None
         count = size = 0
         for batch in batches:
-            for _, p, u, length, sha1, frame, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for row, p, u, length, sha1, frame, refers_to, first_row in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
+                    name = f"{path}/{task:06d}-{uuid.uuid4().hex}.warc.zst"
                     out = open_file(name, write=True)
-                    size += out.write(dictionary_frame(dictionary)) or 0
+                    opening = dictionary_frame(dictionary)
+                    out.write(opening)
+                    count, size = 0, len(opening)
                 if frame is None:
-                    raw = record("revisit", p, u, b"", sha1, refers_to).replace(b"X-Payload-Bytes: 0", b"X-Payload-Bytes: %d" % length, 1)
+                    raw = record("revisit", p, u, b"", sha1, refers_to, row, first_row).replace(b"X-Payload-Bytes: 0", b"X-Payload-Bytes: %d" % length, 1)
                     frame = squeezer.compress(raw)
                 out.write(frame)
                 count, size = count + 1, size + len(frame)
+                if size >= file_bytes:
+                    out.close()
+                    out = None
+                    yield pa.RecordBatch.from_pydict({"file": [name], "records": [count], "bytes": [size]})
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "records": [count], "bytes": [size]})

@@ -33,6 +33,26 @@ def test_warc_round_trip(spark):
     assert warc.read_warcs(warc.write_warcs(df.limit(0), new_path(spark, "warc"))).count() == 0
 
 
+def test_warc_files_and_ids_of_repeated_pages(spark):
+    """Rows that share a page_id have records of their own; files end at a size; the dictionary is made of whole records."""
+    pages = [(1, f"u{i}", "<p>" + "abc " * (50 + i % 3)) for i in range(30)] + [(i, "v", f"<html>{i} " + "words of all pages " * 40) for i in range(2, 200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    manifest = warc.write_warcs(df, new_path(spark, "warc"), file_bytes=3000)
+    assert manifest.count() > 4
+    seen = {}
+    for name in [r["file"] for r in manifest.collect()]:
+        with warc.open_file(name) as f:
+            for headers, _ in warc.frames(f):
+                assert headers["WARC-Record-ID"] not in seen
+                seen[headers["WARC-Record-ID"]] = headers
+    again = [h for h in seen.values() if h["WARC-Type"] == "revisit"]
+    assert len(seen) == len(pages) and len(again) == 27
+    for h in again:
+        assert seen[h["WARC-Refers-To"]]["WARC-Type"] == "response" and seen[h["WARC-Refers-To"]]["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+    some = warc.sample_records(df, "page_id", "url", "html", records=50, chars=20_000)
+    assert some and all(warc.parse(x)[0]["WARC-Type"] == "response" for x in some) and sum(map(len, some)) < 40_000
+
+
 def test_warc_dictionary_frame(tmp_path):
     import io
 
