@@ -10,14 +10,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from readweave.llm import text as T
-from readweave.llm.tables import table
+from readweave.llm.chunks import chunked, load
+from readweave.llm.tables import bound_batches, table
 
 #: Bins of a one-permutation MinHash sketch: the leading bits of a hash name its bin
 BINS = 512
-#: Characters of items that go with one scan of the documents
-BLOCK_CHARS = 8_000_000
+#: Bytes of items whose index a task holds at a time
+BLOCK_BYTES = 8_000_000
+#: Bytes of documents that wait for the next block's index, where there are several blocks
+HELD_BYTES = 32_000_000
 _FOLD = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 _GAPS = "".join(map(chr, [32, *range(9, 14)]))
 
@@ -132,68 +136,86 @@ def confirm(index: Index, docs: T.Docs, percent: int) -> list[tuple[int, int, in
     return out
 
 
-def items_in_blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[tuple[list, list[str]]]:
-    """The items, streamed to the driver in blocks of at most `most` characters (one item at least)."""
-    ids, texts, size = [], [], 0
+Place = tuple[str, int, int]  # file, offset and size of a block of items
+
+
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> list[Place]:
+    """The distinct items in blocks of about `most` bytes (one item at least), as files in the shared folder. To the driver
+    come their places: one for each `most` bytes of the benchmark."""
     rows = benchmark.select(benchmark[item_id].alias("i"), benchmark[text].alias("t")).where(F.col("t").isNotNull()).distinct()
-    for r in rows.orderBy("i", "t").toLocalIterator():
-        if ids and size + len(r["t"]) > most:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(r["i"])
-        texts.append(r["t"])
-        size += len(r["t"])
-    if ids:
-        yield ids, texts
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, percent: int = 80, shingle: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    return [(r["file"], r["at"], r["size"]) for r in chunked(rows, "t", most).orderBy("chunk").collect()]
+
+
+def load_index(place: Place, k: int) -> Index:
+    rows = load(*place)
+    return build(rows["i"].to_pylist(), rows["t"].to_pylist(), k)
+
+
+def scan(blocks: list[Place], batches: Iterator[pa.RecordBatch], column: int, k: int, percent: int) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Each batch with its hits (row, item id, shingles of the item, shared). A task reads the documents once; several
+    blocks take turns over documents that wait in memory up to a bound, with one block's index at a time."""
+    only = load_index(blocks[0], k) if len(blocks) == 1 else None
+
+    def search(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+        found: list[list[tuple]] = [[] for _ in held]
+        for place in blocks:
+            index = only or load_index(place, k)
+            for batch, out in zip(held, found):
+                for at, _, part in T.slices(T.docs_of(batch.column(column))):
+                    out += [(at + d, index.ids[i], n, shared) for d, i, n, shared in confirm(index, part, percent)]
+        yield from zip(held, found)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if only or sum(b.nbytes for b in held) >= HELD_BYTES:
+            yield from search(held)
+            held = []
+    if held:
+        yield from search(held)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, percent: int = 80, shingle: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs (doc_id, item_id, item_shingles, shared_shingles, containment): documents that hold an item's shingles to
     `percent` % at least.
 
-    Items go to the executors in blocks of bounded size, one scan of the documents a block. A document that holds an item
-    to that part shares no minimum with a probability under 0.0001, for the smallest sets, and far less for others.
-    Null or empty texts hold nothing and are held by nothing; an item under `shingle` words is one shingle, its whole
-    sequence, which only an equal text has. Repeated documents give repeated pairs; null ids are kept.
+    One scan of the documents without a shuffle; tasks read the items from the shared folder, in blocks of bounded size. A
+    document that holds an item to that part shares no minimum with a probability under 0.0001, for the smallest sets, and
+    far less for others. Null or empty texts hold nothing and are held by nothing; an item under `shingle` words is one
+    shingle, its whole sequence, which only an equal text has. Repeated documents give repeated pairs; null ids are kept.
     """
     kinds = dict(docs.dtypes)[doc_id], dict(benchmark.dtypes)[item_id]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, item_shingles long, shared_shingles long, containment double"
-    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    out = docs.sparkSession.createDataFrame([], schema)
-    for ids, texts in items_in_blocks(benchmark, item_id, item_text, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = build(*sent.value, shingle)
-            key = pa.array(index.ids)
-            for batch in batches:
-                for at, _, part in T.slices(T.docs_of(batch.column(1))):
-                    got = confirm(index, part, percent)
-                    if got:
-                        d, i, n, shared = (pa.array(x) for x in zip(*got))
-                        yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pc.add(d, at)), pc.take(key, i), n, shared, pc.divide(pc.cast(shared, pa.float64()), pc.cast(n, pa.float64()))], names=["doc_id", "item_id", "item_shingles", "shared_shingles", "containment"])
-
-        out = out.union(rows.mapInArrow(run, schema))
-    return out
+    bound_batches(docs.sparkSession)
+    blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
+    kind = to_arrow_type(benchmark.schema[item_id].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, got in scan(blocks, batches, 1, shingle, percent) if blocks else ():
+            if got:
+                row, item, n, shared = zip(*got)
+                n, shared = pa.array(n, pa.int64()), pa.array(shared, pa.int64())
+                share = pc.divide(pc.cast(shared, pa.float64()), pc.cast(n, pa.float64()))
+                yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(row)), pa.array(item, kind), n, shared, share], names=["doc_id", "item_id", "item_shingles", "shared_shingles", "containment"])
+
+    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, percent: int = 80, shingle: int = 5, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of documents that hold no item, with all their columns."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, percent: int = 80, shingle: int = 5, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of documents that hold no item, with all their columns (see `contaminated`)."""
     place = docs.columns.index(text)
-    for ids, texts in items_in_blocks(benchmark, item_id, item_text, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = build(*sent.value, shingle)
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for at, _, part in T.slices(T.docs_of(batch.column(place))):
-                    for d, *_ in confirm(index, part, percent):
-                        keep[at + d] = False
-                yield pc.filter(batch, pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    bound_batches(docs.sparkSession)
+    blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
+    if not blocks:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, got in scan(blocks, batches, place, shingle, percent):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[row for row, *_ in got]] = False
+            yield pc.filter(batch, pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,14 +37,17 @@ def test_contamination(spark, docs):
     some = corpus.texts()
     items = [(0, " ".join(corpus.words(some[3])[5:45])), (1, "a b c"), (2, None), (3, ""), (4, some[10]), (5, "no such words in any of the texts here at all"), (6, some[10]), (None, some[12])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): (r["item_shingles"], r["shared_shingles"]) for r in contamination.contaminated(docs, bench, block_chars=400).collect()}
+    got = {(r["doc_id"], r["item_id"]): (r["item_shingles"], r["shared_shingles"]) for r in contamination.contaminated(docs, bench, block_bytes=400).collect()}
     want = {}
     for (i, a), (d, b) in itertools.product(items, enumerate(some)):
         x, y = corpus.shingles(a), corpus.shingles(b)
         if x and 100 * len(x & y) >= 80 * len(x):
             want[d, i] = (len(x), len(x & y))
     assert got == want and want
-    kept = contamination.drop_contaminated(docs, bench)
+    assert {(r["doc_id"], r["item_id"]) for r in contamination.contaminated(docs, bench).collect()} == set(want)
+    kept = contamination.drop_contaminated(docs, bench, block_bytes=400)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # one scan for several blocks
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(len(some))) - {d for d, _ in want}
     assert contamination.contaminated(docs, bench.limit(0)).count() == 0 and contamination.contaminated(corpus.empty(spark), bench).count() == 0
 
