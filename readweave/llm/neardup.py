@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readweave.llm import text as T
+from readweave.llm.chunks import load, pack_rows
+from readweave.llm.files import open_file
 from readweave.llm.graph import components
-from readweave.llm.tables import stash, table
+from readweave.llm.tables import new_path, stash, table, unstash
 
 SKETCH_BITS = 512
 BAND_ROWS = 5
@@ -137,14 +140,50 @@ class Forest:
         return out
 
 
+def block_files(members: DataFrame) -> DataFrame:
+    """Write each block (node, sketch, shingles) to a file of its task: the table (component, block, file, at, size)."""
+    path = new_path(members.sparkSession, "block-files")
+    names = ["node", "sketch", "shingles"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, out, at = f"{path}/{uuid.uuid4().hex}.blocks", None, 0
+        held: list[pa.Table] = []
+        key = None
+
+        def put() -> pa.RecordBatch:
+            nonlocal out, at
+            out = out or open_file(name, write=True)
+            raw = pack_rows(pa.concat_tables(held))
+            out.write(raw)
+            at += len(raw)
+            return pa.RecordBatch.from_pydict({"component": pa.array([key[0]], pa.int64()), "block": pa.array([key[1]], pa.int32()), "file": [name], "at": pa.array([at - len(raw)], pa.int64()), "size": pa.array([len(raw)], pa.int64())})
+
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(keys)]):
+                if held and keys[a] != key:
+                    yield put()
+                    held = []
+                key = keys[a]
+                held.append(pa.table(batch.slice(a, b - a)).select(names))
+        if held:
+            yield put()
+        if out is not None:
+            out.close()
+
+    dealt = members.select("component", "block", *names).repartition("component", "block").sortWithinPartitions("component", "block")
+    return dealt.mapInArrow(run, "component long, block int, file string, at long, size long")
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id is the component's smallest).
 
     Documents with 100 * intersection >= percent * union of their sets of distinct lower-cased word shingles are linked.
     Documents with equal sets are one class and meet once. Classes that share a MinHash band form candidate clusters, and
     each cluster is compared in blocks of bounded size: odd sketches by XOR population counts, then the full sets. The
-    blocks of a large cluster are compared pair by pair in separate tasks, so no cluster is collected, and what leaves a
-    task is a spanning forest of its links.
+    blocks of a large cluster are files, which pairs of blocks are read from in separate tasks, so no cluster is collected,
+    members are shuffled once, and what leaves a task is a spanning forest of its links.
 
     Null or empty texts have no shingles and are linked with nothing; rows of one doc_id count as one document with
     several texts; rows with a null doc_id share the node that comes last and return null. An empty table gives no rows.
@@ -161,10 +200,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id
     pairs = keys.join(shared, "band").where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
     clusters = stash(components(pairs, "clusters").join(classes.select(F.col("doc_id").alias("node"), "sketch"), "node"), "cluster-sketches")
 
-    ids = clusters.select(F.col("node"))
     rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias("node"), docs[text].alias("text"))
-    n = ids.count()
-    wanted = rows.join(F.broadcast(ids) if n <= 500_000 else ids, "node", "left_semi")
+    wanted = rows.join(clusters.select("node"), "node", "left_semi")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,26 +213,49 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, doc_id: str = "doc_id
     full = wanted.mapInArrow(sets_of, "node long, shingles binary")
     size = clusters.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     member = clusters.join(size, "component").join(full, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "sketch", "shingles")
+    member = stash(member.select("component", "blocks", "block", "node", "sketch", "shingles"), "members")
+
+    def forest_of(*tables: pa.Table) -> tuple[np.ndarray, Forest]:
+        rows = pa.concat_tables(tables)
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
+        words = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        return rows["node"].to_numpy(), Forest(sets, words, percent, most_odd)
+
+    def named_links(nodes: np.ndarray, got: list[tuple[int, int]]) -> dict[str, pa.Array]:
+        return {"a": pa.array([int(nodes[x]) for x, _ in got], pa.int64()), "b": pa.array([int(nodes[y]) for _, y in got], pa.int64())}
 
     def compare(group: pa.Table) -> pa.Table:
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        block = group["block"].to_numpy()
-        nodes = group["node"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
-        words = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(len(nodes), -1)
-        forest = Forest(sets, words, percent, most_odd)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        got = forest.link(left, left)
-        if i != j:
-            # links within each block leave the task of that block alone; here they save links across
-            forest.link(right, right)
-            got = forest.link(left, right)
-        return pa.table({"a": pa.array([int(nodes[x]) for x, _ in got], pa.int64()), "b": pa.array([int(nodes[y]) for _, y in got], pa.int64())})
-
-    links = dealt.groupBy("component", "i", "j").applyInArrow(compare, "a long, b long")
+        """The links of a cluster that is one block."""
+        nodes, forest = forest_of(group.select(["node", "sketch", "shingles"]))
+        everyone = np.arange(len(nodes))
+        return pa.table(named_links(nodes, forest.link(everyone, everyone)))
+
+    def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The links of two blocks of a large cluster, or within one, read from the blocks' files."""
+        for batch in batches:
+            for first, second in zip(*(zip(*(batch.column(c).to_pylist() for c in some)) for some in ((0, 1, 2), (3, 4, 5)))):
+                one = load(*first)
+                if first == second:
+                    nodes, forest = forest_of(one)
+                    everyone = np.arange(len(nodes))
+                    got = forest.link(everyone, everyone)
+                else:
+                    nodes, forest = forest_of(one, load(*second))
+                    left, right = np.arange(one.num_rows), np.arange(one.num_rows, len(nodes))
+                    # links within each block leave the task of that block alone; here they save links across
+                    forest.link(left, left)
+                    forest.link(right, right)
+                    got = forest.link(left, right)
+                yield pa.RecordBatch.from_pydict(named_links(nodes, got))
+
+    small = member.where("blocks = 1").groupBy("component").applyInArrow(compare, "a long, b long")
+    # a member of a large cluster is written once, to its block's file; pairs of blocks are rows of pointers
+    places = stash(block_files(member.where("blocks > 1")), "blocks")
+    here, there = (places.select("component", F.col("block").alias(f"{x}_block"), *[F.col(c).alias(f"{x}_{c}") for c in ("file", "at", "size")]) for x in ("one", "two"))
+    met = here.join(there, "component").where("one_block <= two_block").select("one_file", "one_at", "one_size", "two_file", "two_at", "two_size")
+    links = small.unionByName(met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(compare_blocks, "a long, b long"))
     groups = components(links, "links")
+    unstash(member)
     # a document's class, then the class's component
     named = classes.select("set_a", "set_b", F.col("doc_id").alias("class_id")).join(groups, F.col("class_id") == groups["node"], "left")
     named = named.select("set_a", "set_b", F.coalesce("component", "class_id").alias("component"))
