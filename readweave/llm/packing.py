@@ -16,6 +16,8 @@ from readweave.llm.tables import table
 
 #: Bytes of text that are encoded at once
 TEXT_BYTES = 500_000
+#: Windows' worth of a long document that wait to fill other windows
+KEPT = 2
 Piece = tuple[int, int, int]  # document (number in the block), start, length
 
 
@@ -59,7 +61,7 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
 
 
 def level(windows: list[list[Piece]], capacity: int) -> tuple[list[list[Piece]], list[Piece]]:
-    """Cut what exceeds the capacity of a window and fill other windows with it: full windows, and the pieces of the one that isn't."""
+    """Full windows, and the pieces of the one that isn't: cuts of the lightest windows fill the others."""
     windows = sorted(windows, key=lambda w: -sum(p[2] for p in w))
     full = sum(p[2] for w in windows for p in w) // capacity
     pool: list[Piece] = [p for w in windows[full:] for p in w]
@@ -88,12 +90,11 @@ def level(windows: list[list[Piece]], capacity: int) -> tuple[list[list[Piece]],
     return windows[:full], pool
 
 
-def fill(pieces: list[Piece], capacity: int) -> tuple[list[list[Piece]], list[Piece]]:
-    """Full windows of the pieces (each at most `capacity` long), and the pieces left over, less than a window's worth.
+def partition(pieces: list[Piece], capacity: int) -> list[list[Piece]]:
+    """Near-equal windows of whole pieces (each at most `capacity` long), none over the capacity.
 
     The window count starts at what the pieces need at least (by their tokens, and as a window has room for no more than
-    j of those over 1/(j+1) of the capacity) and rises while a window of the differencing exceeds the capacity. `level`
-    then fills the windows that have room.
+    j of those over 1/(j+1) of the capacity) and rises while a window of the differencing exceeds the capacity.
     """
     sizes = [p[2] for p in pieces]
     count = max(-(-sum(sizes) // capacity), *(-(-sum((j + 1) * n > capacity for n in sizes) // j) for j in range(1, 9)))
@@ -101,7 +102,39 @@ def fill(pieces: list[Piece], capacity: int) -> tuple[list[list[Piece]], list[Pi
     while any(sum(sizes[i] for i in part) > capacity for part in parts):
         count += 1
         parts = differencing(sizes, count)
-    return level([[pieces[i] for i in part] for part in parts], capacity)
+    return [[pieces[i] for i in part] for part in parts]
+
+
+def full_windows(piece: Piece, capacity: int, keep: int = 0) -> tuple[list[list[Piece]], Piece]:
+    """Windows cut from the beginning of a long piece while `keep` windows' worth is left, and what is left of it."""
+    d, s, n = piece
+    cut = max((n - keep * capacity) // capacity, 0) * capacity
+    return [[(d, at, capacity)] for at in range(s, s + cut, capacity)], (d, s + cut, n - cut)
+
+
+def fill(pieces: list[Piece], long: list[Piece], capacity: int) -> tuple[list[list[Piece]], list[Piece], list[Piece]]:
+    """Full windows, the pieces left over (less than a window's worth), and what is left of the long documents.
+
+    The windows are those of `partition`, and the room that it leaves is filled with cuts of `long`, pieces of documents that
+    have to be cut anyway; a worse partition would leave more room, and need more windows and cuts. Once they run out,
+    `level` closes the windows that have room.
+    """
+    windows = sorted(partition(pieces, capacity), key=lambda w: -sum(p[2] for p in w))
+    supply = list(long)
+    for w in windows:
+        room = capacity - sum(p[2] for p in w)
+        while room and supply:
+            d, s, n = supply.pop()
+            take = min(room, n)
+            w.append((d, s + n - take, take))
+            if n > take:
+                supply.append((d, s, n - take))
+            room -= take
+        if room:
+            break
+    closed = [w for w in windows if sum(p[2] for p in w) == capacity]
+    more, pool = level([w for w in windows if sum(p[2] for p in w) < capacity], capacity)
+    return closed + more, pool, supply
 
 
 def powers_of_two(pieces: list[Piece]) -> list[list[Piece]]:
@@ -129,9 +162,10 @@ SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 def pack(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 1, block_tokens: int = 500_000, with_ids: bool = False) -> DataFrame:
     """Pieces of documents in windows of at most `capacity` ids.
 
-    A document's ids are those of its text (null: empty) and `end_id`. Full windows are cut from long documents; the rests
-    of a block of about `block_tokens` ids are dealt by `differencing` to as many windows as keep each within its
-    capacity, and windows that have room are filled with cuts of the lightest ones. The last rests of a partition make
+    A document's ids are those of its text (null: empty) and `end_id`. A document of up to `capacity` ids stays whole:
+    those of a block of about `block_tokens` ids are dealt by `differencing` to near-equal windows, as few as keep each
+    within its capacity. Longer documents are cut: into full windows, and into what fills the room that the others leave.
+    Where a block has no long documents left, and at the end of a partition, shorter ones are cut too: the last pieces make
     windows whose lengths are powers of two, so no window needs padding. Windows never span partitions: the plan is one
     scan without a shuffle, and a lost task is repeated on its own. Rows with a null or repeated doc_id are packed like
     others; an empty table gives no rows.
@@ -146,7 +180,8 @@ def pack(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str
 
         sequence = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
         block: dict[int, tuple[object, np.ndarray]] = {}  # documents that still have rests
-        rests: list[Piece] = []
+        short: list[Piece] = []  # whole documents, and pieces that closing windows left over
+        long: list[Piece] = []  # what is left of documents over the capacity, a bounded part of each
         held = number = 0
 
         def rows(windows: list[list[Piece]]) -> pa.RecordBatch:
@@ -177,22 +212,36 @@ def pack(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str
                 for i in range(to - at):
                     own = np.append(ids[edge[i] : edge[i + 1]], np.uint32(end_id)).astype("<u4")
                     block[number] = keys[at + i], own
-                    cut = len(own) // capacity * capacity
-                    whole += [[(number, s, capacity)] for s in range(0, cut, capacity)]
-                    if cut < len(own):
-                        rests.append((number, cut, len(own) - cut))
-                        held += len(own) - cut
+                    if len(own) <= capacity:
+                        short.append((number, 0, len(own)))
+                        held += len(own)
+                    else:
+                        cut, rest = full_windows((number, 0, len(own)), capacity, KEPT)
+                        whole += cut
+                        long.append(rest)
                     number += 1
+                # of long documents, a share of the block waits to fill windows
+                while long and sum(p[2] for p in long) > held // 8 + KEPT * capacity:
+                    cut, rest = full_windows(long.pop(0), capacity)
+                    whole += cut
+                    if rest[2]:
+                        short.append(rest)
+                        held += rest[2]
                 if whole:
                     yield rows(whole)
                 if held >= block_tokens:
-                    windows, rests = fill(rests, capacity)
+                    windows, short, long = fill(short, long, capacity)
                     yield rows(windows)
-                    held = sum(p[2] for p in rests)
-                block = {d: block[d] for d, _, _ in rests}
-        if rests:
-            windows, rests = fill(rests, capacity)
-            yield rows(windows + powers_of_two(rests))
+                    held = sum(p[2] for p in short)
+                block = {d: block[d] for d, _, _ in short + long}
+        if short or long:
+            windows, short, long = fill(short, long, capacity)
+            for piece in long:
+                cut, rest = full_windows(piece, capacity)
+                windows += cut
+                short += [rest] if rest[2] else []
+            last, short, _ = fill(short, [], capacity)
+            yield rows(windows + last + powers_of_two(short))
 
     return columns.mapInArrow(run, schema)
 

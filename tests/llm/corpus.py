@@ -38,6 +38,20 @@ def texts(seed=11, n=60):
     return [*out, "", None, " ", "\n\n", "One", "a b c", "A B C", None, "x " * 3000 + "end", "word " * 19, "word " * 20, "w" * 5000, "Ünï ÇÖDE ß 😀 " * 30]
 
 
+def without_repeats(some, size=20):
+    """(id, words, kept words) of (id, text) rows: words of windows that start earlier go."""
+    seen, out = {}, []
+    for i, t in some:
+        w = words(t)
+        for j in range(len(w) - size + 1):
+            seen.setdefault(tuple(w[j : j + size]), []).append((i, j))
+    for i, t in some:
+        w = words(t)
+        gone = {k for j in range(len(w) - size + 1) if min(seen[tuple(w[j : j + size])]) < (i, j) for k in range(j, j + size)}
+        out.append((i, w, [x for k, x in enumerate(w) if k not in gone]))
+    return out
+
+
 def frame(spark, some=None, extra=True):
     """doc_id, text and columns whose names the operators use themselves."""
     rows = [(i, t) for i, t in enumerate(texts() if some is None else some)]

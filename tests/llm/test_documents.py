@@ -90,6 +90,57 @@ def test_quality(spark, docs):
     assert quality.quality_rules(corpus.empty(spark), quality.PRIOR).count() == 0
 
 
+def slow_verdict(t, crf, least=0.5):
+    """content share and kept of one text, character by character and with every way through the lines weighed."""
+    t = t or ""
+    w = corpus.words(t)
+    times = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {j for i in range(len(w) - 4) if times[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    xs, sizes, seen, at = [], [], set(), 0
+    for line in t.split("\n"):
+        own = corpus.words(line)
+        if not own:
+            continue
+        raw, k = line.encode(), len(own)
+        count = lambda some: sum(c in some for c in raw)  # noqa: E731, B023
+        letters = sum(chr(c).isascii() and chr(c).isalpha() or c >= 0xC0 for c in raw)
+        xs.append([1, min(10 * count(b"#*$%&|<>") / len(raw), 3), min(10 * count(b"!") / len(raw), 3), 2 * count(bytes(range(65, 91))) / max(letters, 1), math.log1p(k) / 3,
+                   own[-1][-1] in ".?;:", line in seen, sum(j in covered for j in range(at, at + k)) / k, min(5 * count(b"0123456789") / len(raw), 3), len(raw) / k / 10])
+        sizes.append(k)
+        seen.add(line)
+        at += k
+    best, ways = [0.0, 0.0], [[], []]
+    for n, x in enumerate(xs):
+        emit = [sum(a * b for a, b in zip(x, crf.emit[:, y])) for y in (0, 1)]
+        if n:
+            of = [max((1, 0), key=lambda p, y=y: best[p] + crf.move[p, y]) for y in (0, 1)]
+            best, ways = [best[of[y]] + crf.move[of[y], y] + emit[y] for y in (0, 1)], [ways[of[y]] + [y] for y in (0, 1)]
+        else:
+            best, ways = emit, [[0], [1]]
+    label = ways[1] if best[1] >= best[0] else ways[0]
+    share = sum(k for k, y in zip(sizes, label) if y) / max(sum(sizes), 1)
+    return share, not quality_counts(t)[-1] and share >= least
+
+
+def test_verdicts_of_a_fitted_field(spark):
+    """Fitted weights, content shares and verdicts of a hundred texts against the slow way."""
+    r = np.random.default_rng(9)
+    good, bad = [f"word{i}" for i in range(200)], ["BUY!!", "$$$", "a|b", "###", "99%", "CALL"]
+    line = lambda some, n: " ".join(r.choice(some, n)) + "."
+    some, y = [], []
+    for i in range(100):
+        y.append(i % 2)
+        some.append("\n".join(line(good if r.random() < (0.85 if i % 2 else 0.25) else bad, r.integers(1, 12)) for _ in range(r.integers(1, 14))))
+    docs = corpus.frame(spark, some)
+    crf = quality.fit_quality(docs, spark.createDataFrame([(i, v) for i, v in enumerate(y)], "doc_id long, quality int"))
+    got = rows(quality.quality_rules(docs, crf))
+    for i, t in enumerate(some):
+        share, kept = slow_verdict(t, crf)
+        assert got[i]["content_share"] == pytest.approx(share) and got[i]["kept"] == kept
+    assert 20 < sum(r["kept"] for r in got.values()) < 80
+    assert {r["doc_id"] for r in quality.keep_quality(docs, crf).collect()} == {i for i, r in got.items() if r["kept"]}
+
+
 def test_viterbi_against_all_sequences():
     r = np.random.default_rng(4)
     crf = quality.Crf(r.normal(size=(quality.FEATURES, 2)), r.normal(size=(2, 2)))
@@ -241,16 +292,7 @@ def test_substrings_by_chunks_of_any_size(spark, chunk_bytes):
     r = np.random.default_rng(1)
     some = [" ".join(f"w{x}" for x in r.integers(0, 500, 80)) for _ in range(6)]
     rows_ = [(1, some[0]), (2, some[1]), (3, some[2] + " " + some[1]), (4, some[3]), (5, some[0]), (5, some[0]), (6, some[4] + " x " + some[4]), (7, some[1] + " " + some[0]), (7, None), (8, "")]
-    seen, want = {}, []
-    for i, t in rows_:
-        w = corpus.words(t)
-        for j in range(len(w) - 19):
-            seen.setdefault(tuple(w[j : j + 20]), []).append((i, j))
-    for i, t in rows_:
-        w = corpus.words(t)
-        gone = {k for j in range(len(w) - 19) if min(seen[tuple(w[j : j + 20])]) < (i, j) for k in range(j, j + 20)}
-        kept = [x for k, x in enumerate(w) if k not in gone]
-        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    want = [(i, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()) for i, w, kept in corpus.without_repeats(rows_)]
     df = spark.createDataFrame(rows_, "doc_id long, text string").coalesce(1)
     assert sorted(map(tuple, substrings.remove_repeats(df, digest=True, chunk_bytes=chunk_bytes).collect())) == sorted(want)
 
@@ -377,6 +419,30 @@ def test_encoding_beyond_the_cache(monkeypatch, name):
     assert len(enc.keys) <= 20
 
 
+def test_packing_by_differencing_needs_fewer_windows(spark, monkeypatch):
+    """Documents up to a window stay whole while long ones fill the room, and windows come from the differencing: dealt in
+    turn, the same documents need more windows and leave more room."""
+    r = np.random.default_rng(3)
+    short = [(i, 0, int(n)) for i, n in enumerate(r.integers(20, 1800, 400))]
+    long = [(400 + i, 0, 9000) for i in range(60)]
+
+    def packed():
+        full, rest, left = packing.fill(short, long, 2048)
+        assert all(sum(p[2] for p in w) == 2048 for w in full)
+        got = sorted(p for w in [*full, rest, left] for p in w)
+        for d, _, n in short + long:
+            own = [p for p in got if p[0] == d]
+            assert sum(p[2] for p in own) == n and all(a[1] + a[2] == b[1] for a, b in itertools.pairwise(own))
+        cut = sum(1 for d, s, n in got if d < 400 and (s or n < short[d][2]))
+        return len(packing.partition(short, 2048)), cut, sum(n for d, _, n in got if d >= 400) - sum(n for *_, n in left)
+
+    windows, cut, filler = packed()
+    assert cut == 0 and windows <= -(-sum(p[2] for p in short) // 2048) * 1.05
+    monkeypatch.setattr(packing, "differencing", lambda sizes, k: [list(range(len(sizes)))[i::k] for i in range(k)])
+    naive = packed()
+    assert naive[0] > 1.2 * windows and naive[2] > 2 * filler
+
+
 def test_packing(spark, docs):
     some, ids = corpus.texts(), library("byte_bpe_50k.json")
     got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=64, block_tokens=1500, with_ids=True).collect()
@@ -417,24 +483,26 @@ def test_differencing():
 def test_fill_leaves_no_room():
     r = np.random.default_rng(5)
     pieces = [(i, 0, int(n)) for i, n in enumerate(r.integers(1, 64, 300))]
-    full, rest = packing.fill(pieces, 64)
+    full, rest, _ = packing.fill(pieces, [], 64)
     assert all(sum(p[2] for p in w) == 64 for w in full) and sum(p[2] for p in rest) < 64
     assert sum(p[2] for w in full for p in w) + sum(p[2] for p in rest) == sum(p[2] for p in pieces)
     assert all(sum(p[2] for p in w).bit_count() == 1 for w in packing.powers_of_two(rest))
 
 
-def test_fill_takes_more_windows_while_one_is_too_full(monkeypatch):
-    r, level, handed = np.random.default_rng(6), packing.level, []
-    monkeypatch.setattr(packing, "level", lambda windows, capacity: handed.append(windows) or level(windows, capacity))
+def test_partition_takes_more_windows_while_one_is_too_full():
+    r, counts = np.random.default_rng(6), []
     for sizes in ([6, 6, 6], [64] * 3, [40] * 50, [33, 31] * 20, *r.integers(1, 65, (5, 200)).tolist(), []):
         capacity = 10 if sizes == [6, 6, 6] else 64
-        full, rest = packing.fill([(i, 0, n) for i, n in enumerate(sizes)], capacity)
-        assert all(sum(p[2] for p in w) <= capacity for w in handed[-1])
-        assert all(sum(p[2] for p in w) == capacity for w in full) and sum(p[2] for w in [*full, rest] for p in w) == sum(sizes)
+        pieces = [(i, 0, n) for i, n in enumerate(sizes)]
+        windows = packing.partition(pieces, capacity)
+        counts.append(len(windows))
+        assert all(sum(p[2] for p in w) <= capacity for w in windows) and sorted(p for w in windows for p in w) == pieces
         # no count from the least one up to it would do
-        for fewer in range(-(-sum(sizes) // capacity), len(handed[-1])):
+        for fewer in range(-(-sum(sizes) // capacity), len(windows)):
             assert any(sum(sizes[i] for i in p) > capacity for p in packing.differencing(sizes, fewer))
-    assert [len(w) for w in handed[:3]] == [3, 3, 50]
+        full, rest, _ = packing.fill(pieces, [], capacity)
+        assert all(sum(p[2] for p in w) == capacity for w in full) and sum(p[2] for w in [*full, rest] for p in w) == sum(sizes)
+    assert counts[:3] == [3, 3, 50]
 
 
 def base_places(t):
