@@ -95,8 +95,9 @@ NEVER = Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.array([30.0, 31.0, 32.0]
 def fit_ordinal(texts: list[str], toxic: np.ndarray, weight: np.ndarray, *, most: int = 4000, rounds: int = 400, penalty: float = 2e-5) -> Ordinal:
     """Choose features by their association with toxic documents, grade the toxic ones, fit weights and thresholds.
 
-    The labels only tell toxic from clean. Grades 1 to 3 are the thirds of the toxic documents by the summed log odds
-    of their features that speak for toxicity; clean documents have grade 0.
+    The labels only tell toxic from clean. Grades 1 to 3 are the thirds of the toxic documents by how much speaks for
+    toxicity in them: the summed log odds of their features, as the other half of the sample has them, so a document's
+    own label doesn't make its grade. Clean documents have grade 0.
     """
     if not len(texts) or len(set(toxic.tolist())) < 2:
         return NEVER
@@ -133,17 +134,36 @@ def fit_ordinal(texts: list[str], toxic: np.ndarray, weight: np.ndarray, *, most
     pick = np.flatnonzero((a >= 3) & (cross > 0) & (chi > CHI))
     pick = np.sort(pick[np.argsort(-chi[pick], kind="stable")[:most]])
     known = one[pick]
-    # a feature counts by its smoothed log odds, so the penalty holds back rare and weak features most
-    odds = np.log((wa[pick] / pa_ + 0.5 / y.sum()) / (wb[pick] / pb + 0.5 / (~y).sum()))
     place = np.full(len(one), -1)
     place[pick] = np.arange(len(pick))
     use = place[where] >= 0
     doc, col, val = doc[use], place[where][use], np.log1p(n[use])
-    val = val * odds[col]
-    strong = np.bincount(doc, val, total)
+
+    def log_odds(of: np.ndarray) -> np.ndarray:
+        """Smoothed log odds of the features among some of the documents."""
+        sides = []
+        for side in (y & of, ~y & of):
+            seen = np.bincount(col, (w * side)[doc], len(pick))
+            sides.append(seen / max(w[side].sum(), 1e-12) + 0.5 / max(side.sum(), 1))
+        return np.log(sides[0] / sides[1])
+
+    strong = np.zeros(total)
+    half = (np.cumsum(y) * y + np.cumsum(~y) * ~y) % 2 == 0
+    for of in (half, ~half):
+        strong += np.where(of, np.bincount(doc, val * log_odds(~of)[col], total), 0)
     cuts = np.quantile(strong[y], [1 / 3, 2 / 3])
     grade = np.where(y, 1 + np.searchsorted(cuts, strong), 0)
-    beta, theta, gap = np.zeros(len(pick)), np.array(2.0), np.zeros(GRADES - 2)
+    # a feature counts by its log odds in the whole sample, so the penalty holds back rare and weak features most
+    odds = log_odds(np.ones(total, bool))
+    beta, thresholds = fit_links(doc, col, val * odds[col], grade, w, len(pick), rounds=rounds, penalty=penalty)
+    return Ordinal(known, beta * odds, thresholds)
+
+
+def fit_links(doc: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, w: np.ndarray, features: int, *, rounds: int, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending thresholds that maximise the mean log likelihood of grades, less penalty/2 times the squared
+    weights. `val` is the value of feature `col` in document `doc`; gradients by Adam, in a fixed number of rounds."""
+    total = len(grade)
+    beta, theta, gap = np.zeros(features), np.array(2.0), np.zeros(GRADES - 2)
     moments: dict[int, list] = {}
     for step in range(1, rounds + 1):
         cut = theta + np.concatenate([[0], np.cumsum(np.exp(gap))])
@@ -155,7 +175,7 @@ def fit_ordinal(texts: list[str], toxic: np.ndarray, weight: np.ndarray, *, most
         g_score = w * (slope[row, grade] - slope[row, grade + 1]) / p
         # a threshold k bounds grade k from above and grade k+1 from below
         g_cut = np.array([(w / p * slope[:, k + 1] * ((grade == k).astype(float) - (grade == k + 1))).sum() for k in range(GRADES - 1)])
-        grads = [np.bincount(col, g_score[doc] * val, len(pick)) - penalty * beta, g_cut.sum(), np.cumsum(g_cut[::-1])[::-1][1:] * np.exp(gap)]
+        grads = [np.bincount(col, g_score[doc] * val, features) - penalty * beta, g_cut.sum(), np.cumsum(g_cut[::-1])[::-1][1:] * np.exp(gap)]
         moved = []
         for i, (param, grad) in enumerate(zip((beta, theta, gap), grads)):
             m, v = moments.get(i, (0.0, 0.0))
@@ -163,7 +183,7 @@ def fit_ordinal(texts: list[str], toxic: np.ndarray, weight: np.ndarray, *, most
             moments[i] = [m, v]
             moved.append(param + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
         beta, theta, gap = moved
-    return Ordinal(known, beta * odds, theta + np.concatenate([[0], np.cumsum(np.exp(gap))]))
+    return beta, theta + np.concatenate([[0], np.cumsum(np.exp(gap))])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, toxic_docs: int = 2000, clean_docs: int = 4000, doc_id: str = "doc_id", text: str = "text") -> Ordinal:

@@ -100,6 +100,32 @@ def test_ordinal_regression_on_held_out_texts(spark):
     assert all(0 <= r["severity"] <= 3 for r in got)
 
 
+def test_ordinal_fit_against_slow_ascent():
+    """The fit's likelihood is that of a plain ascent by numeric slopes, and so are the probabilities."""
+    r = np.random.default_rng(4)
+    x = (r.random((80, 3)) < 0.4) * r.random((80, 3)) * 2
+    grade = np.clip((x @ [2.0, 1.0, -0.5] + r.normal(0, 0.7, 80)).round(), 0, 3).astype(int)
+    w = r.random(80)
+    w /= w.sum()
+    doc, col = np.nonzero(x)
+    beta, cuts = toxicity.fit_links(doc, col, x[doc, col], grade, w, 3, rounds=2000, penalty=1e-3)
+
+    def above(beta, cuts):
+        return 1 / (1 + np.exp(cuts[None] - (x @ beta)[:, None]))
+
+    def value(v):
+        up = np.concatenate([np.ones((80, 1)), above(v[:3], v[3] + np.concatenate([[0], np.cumsum(np.exp(v[4:]))])), np.zeros((80, 1))], axis=1)
+        p = up[np.arange(80), grade] - up[np.arange(80), grade + 1]
+        return (w * np.log(p)).sum() - 1e-3 / 2 * (v[:3] ** 2).sum()
+
+    v = np.array([0.0, 0.0, 0.0, 1.0, 0.0, 0.0])
+    for _ in range(4000):
+        v = v + 0.5 * np.array([(value(v + e) - value(v - e)) / 2e-5 for e in np.eye(6) * 1e-5])
+    found = np.concatenate([beta, cuts[:1], np.log(np.diff(cuts))])
+    assert value(found) == pytest.approx(value(v), abs=1e-4)
+    assert np.allclose(above(beta, cuts), above(v[:3], v[3] + np.concatenate([[0], np.cumsum(np.exp(v[4:]))])), atol=0.02)
+
+
 def test_fit_without_both_labels(spark):
     assert toxicity.fit_ordinal([], np.zeros(0, int), np.zeros(0)) is toxicity.NEVER
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")

@@ -1,8 +1,10 @@
+import zlib
+
 import corpus
 import corpus_pipeline
 import pytest
 
-from readweave.llm import registry
+from readweave.llm import quality, registry
 
 
 @pytest.fixture(scope="module")
@@ -18,29 +20,75 @@ def sf(spark, tmp_path_factory):
 
 
 def test_stages_and_run(spark, sf):
+    """Each stage against the plain way, on what the stage before kept; then all at once."""
+    import public_tokenizers
+    from test_documents import library, slow_verdict
+
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
+    crf = quality.fit_quality(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    item = corpus.shingles(spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"])
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "substring dedup", "decontamination", "packing"]
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = {r["doc_id"]: r["text"] for r in docs.collect()}
         out = stage(spark, docs, sf)
         if name == "packing":
-            assert {r["doc_id"] for r in out.collect()} == set(before)
             break
         assert out.columns == columns
         after = {r["doc_id"]: r["text"] for r in out.collect()}
         assert set(after) <= set(before)
+        if name == "quality rules":
+            assert set(after) == {i for i, t in before.items() if slow_verdict(t, crf)[1]}
         if name == "near duplicates":
-            sets = {i: corpus.shingles(t) for i, t in after.items()}
-            assert not any(i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for i in sets for j in sets)
+            sets, group = {i: corpus.shingles(t) for i, t in before.items()}, {i: i for i in before}
+            for _ in before:  # the smallest id reachable
+                for i in sets:
+                    for j in sets:
+                        if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                            group[i] = min(group[i], group[j])
+            assert set(after) == {i for i in before if group[i] == i}
+        if name == "substring dedup":
+            assert {i: corpus.words(t) for i, t in after.items()} == {i: kept for i, _, kept in corpus.without_repeats(sorted(before.items()))}
         if name == "decontamination":
-            item = corpus.shingles(spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"])
             assert set(after) == {i for i, t in before.items() if 100 * len(item & corpus.shingles(t)) < 80 * len(item)}
         path = f"{sf}/stage{k}"
         out.write.parquet(path)
         docs = spark.read.parquet(path)
-    keys = ["doc_id", "start", "length", "ids_crc32"]
-    whole = corpus_pipeline.run(spark, sf)
-    assert whole.groupBy("doc_id").count().count() == len(before) and set(keys) <= set(whole.columns)
+    ids = library("byte_bpe_50k.json")
+    assert public_tokenizers.path("byte_bpe_50k.json")
+    for rows in (out, corpus_pipeline.run(spark, sf)):
+        pieces, windows = {}, {}
+        for r in rows.collect():
+            pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+            windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert set(pieces) == set(before)
+        for i, some in pieces.items():
+            want, at = ids(before[i]), 0
+            for start, n, crc, total in sorted(some):
+                assert (start, crc, total) == (at, zlib.crc32(want[at : at + n].tobytes()), len(want))
+                at += n
+            assert at == len(want)
+        for some in windows.values():
+            at = 0
+            for offset, n in sorted(some):
+                assert offset == at
+                at += n
+            assert at <= 2048
+
+
+def test_stages_of_empty_tables_and_clashing_names(spark, sf, tmp_path):
+    """Stages take columns named like their own, and tables without rows."""
+    clash = ["chunk", "doc", "start", "size", "component", "node", "block", "share", "bucket", "row", "kept", "_r0", "text_"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(12).selectExpr("*", *[f"doc_id as {c}" for c in clash])
+    none = str(tmp_path)
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{none}/{name}.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert name == "packing" or out.columns == docs.columns
+        assert out.select("doc_id").count() > 0
+        assert stage(spark, docs.limit(0), none).count() == 0
+    assert corpus_pipeline.run(spark, none).count() == 0
 
 
 def test_registry():
