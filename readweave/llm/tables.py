@@ -59,12 +59,17 @@ def _delete(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def clear(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete all that the operators wrote in this process but the tables to keep: results that are still lazy can't be
-    read after."""
+def written() -> int:
+    """How many paths the operators have asked for so far in this process: a mark for `clear`."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, *keep: DataFrame, since: int = 0) -> None:
+    """Delete what the operators wrote in this process since a mark, but the tables to keep: other results that are still
+    lazy can't be read after."""
     kept = [f for df in keep for f in df.inputFiles()]
-    for path in list(_written):
-        if not any(f"{path.partition(':')[2] or path}/".replace("//", "/") in f.replace("//", "/") for f in kept):
+    for path in _written[since:]:
+        if not any(f"/{path.rpartition('/')[2]}/" in f for f in kept):
             _delete(spark, path)
             _written.remove(path)
 

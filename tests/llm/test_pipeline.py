@@ -91,6 +91,33 @@ def test_stages_of_empty_tables_and_clashing_names(spark, sf, tmp_path):
     assert corpus_pipeline.run(spark, none).count() == 0
 
 
+def test_written_tables_go(spark, sf, tmp_path):
+    """The pipeline leaves its last documents alone of what it wrote; other results stay."""
+    from readweave.llm import tables
+
+    other = tables.stash(spark.range(3).toDF("i"), "other")
+    mark = tables.written()
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert tables.written() - mark == 1 and other.count() == 3
+    tables.clear(spark, other, since=mark - 1)
+    assert tables.written() == mark and other.count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from readweave.llm import tables
+
+    unset = SimpleNamespace(get=lambda key, default=None: default, set=lambda *_: None)
+    for master, fine in (("local[4]", True), ("yarn", False), ("local-cluster[2,1,1024]", False), ("spark://x:7077", False)):
+        spark = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, getConf=lambda: unset))
+        if fine:
+            assert tables.shared_dir(spark)
+        else:
+            with pytest.raises(RuntimeError):
+                tables.shared_dir(spark)
+
+
 def test_registry():
     names = list(registry.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(registry.oracles()) <= set(names)
