@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readweave.llm import contamination, neardup, packing, quality, substrings
-from readweave.llm.tables import stash, table, unstash
+from readweave.llm.tables import clear, stash, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,13 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`, each written to the shared folder and read again by the next."""
-    docs, before = table(spark, sf_dir, "documents"), None
+    """All stages on `documents`, each written to the shared folder and read again by the next. What a stage wrote besides
+    goes once its result is written, and so does the result of the stage before."""
+    docs, mark = table(spark, sf_dir, "documents"), written()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stash(docs, name.replace(" ", "-"))
-            if before is not None:
-                unstash(before)
-            before = docs
+            clear(spark, docs, since=mark)
     return docs
