@@ -16,8 +16,8 @@ from readweave.functions.kernels import LatticeError
 from readweave.functions.readings import Options
 from readweave.functions.romaji import OverLimit, ReadingError, Unsupported
 
-#: Lattices with this many strings at most are also written out, and scored in the JVM
-WRITTEN = 64
+#: Lattices with this many strings at most are also written out
+WRITTEN = 512
 
 EXPANSION = "lattice string, lattice_paths array<string>, paths array<string>, error string, paths_error string, unsupported boolean"
 _PATH = "array<struct<joined_reading:string,segments:array<struct<surface:string,reading:string,source:string>>>>"
@@ -87,7 +87,11 @@ def expand(texts: DataFrame, lexicon: DataFrame, lang: str, options: Options, *,
                 rows.append((t, lattice, strings, paths, error, paths_error, unsupported))
             yield pd.DataFrame(rows, columns=["text", "lattice", "lattice_paths", "paths", "error", "paths_error", "unsupported"])
 
-    return lookups(distinct, lexicon, lang, options).mapInPandas(run, f"text string, {EXPANSION}")
+    # looking up and spelling out texts take far longer than their few bytes tell an adaptive plan, which would join the
+    # partitions
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lookups(distinct.repartition(parts), lexicon, lang, options).repartition(parts)
+    return dealt.mapInPandas(run, f"text string, {EXPANSION}")
 
 
 def attach(df: DataFrame, column: str, expansion: DataFrame, name: str) -> DataFrame:

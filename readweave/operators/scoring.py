@@ -23,12 +23,23 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Pairs of written paths up to which their distances are taken one by one
+PATH_PAIRS = 4096
+
+
+def few_pairs(a: Column, b: Column) -> Column:
+    """Whether both expansions have written paths, with few pairs of them, or no lattices that a kernel could take."""
+    written = a["lattice_paths"].isNotNull() & b["lattice_paths"].isNotNull()
+    few = F.size(a["lattice_paths"]) * F.size(b["lattice_paths"]) <= PATH_PAIRS
+    return F.coalesce(written & (few | a["lattice"].isNull() | b["lattice"].isNull()), F.lit(False))
+
+
 def lattice_score(left: str, right: str, transpose: bool = False, most: int | None = None) -> Column:
-    """Least distance of the two lattices (struct columns of expansions). Sets that are written out are scored as such,
-    and only the rest goes to the lattice kernel; pairs beyond its limit are null. With `most`, searches end there, and
-    distances over it read most + 1."""
+    """Least distance of the two lattices (struct columns of expansions). Sets that are written out and have few pairs are
+    scored in the JVM, and only the rest goes to the lattice kernel; pairs beyond its limit are null. With `most`, searches
+    end there, and distances over it read most + 1."""
     a, b = F.col(left), F.col(right)
-    both = a["lattice_paths"].isNotNull() & b["lattice_paths"].isNotNull()
+    both = few_pairs(a, b)
     large = ~both & a["lattice"].isNotNull() & b["lattice"].isNotNull() & ~P.over_cells(a["lattice"], b["lattice"])
     kernel = (P.lattice_osa if transpose else P.lattice_levenshtein)(F.when(large, a["lattice"]), F.when(large, b["lattice"]), F.lit(most).cast("int"))
     small = P.osa_sets(F.when(both, a["lattice_paths"]), F.when(both, b["lattice_paths"])) if transpose else P.least_distance(a["lattice_paths"], b["lattice_paths"], most)
@@ -54,8 +65,7 @@ def reading_error(left: str, right: str, metric: str) -> Column:
     a, b = F.col(left), F.col(right)
     if metric not in X.DISTANCES:
         return F.coalesce(a["paths_error"], b["paths_error"])
-    written = a["lattice_paths"].isNotNull() & b["lattice_paths"].isNotNull()
-    return F.coalesce(a["error"], b["error"], F.when(~written & P.over_cells(a["lattice"], b["lattice"]), F.lit("the two lattices have too many node pairs")))
+    return F.coalesce(a["error"], b["error"], F.when(~few_pairs(a, b) & P.over_cells(a["lattice"], b["lattice"]), F.lit("the two lattices have too many node pairs")))
 
 
 def checked_error(score: Column, error: Column, on_error: str) -> Column:
