@@ -215,4 +215,6 @@ def oracles() -> dict[str, str]:
         "zh_distance": _on_pairs(f"levenshtein({asked}, {direct})::int"),
         "ja_compare": f"with recursive {_PAIRS}, {_OSA.format(l='query', r='choice', source='p')} select query_id, choice_id, levenshtein(query, choice)::int as surface_levenshtein, osa as surface_damerau, levenshtein(query, choice)::int as lattice, osa as lattice_damerau, least(osa, levenshtein(query, choice))::int as combined from p join osa on query = l and choice = r",
         "zero_distance_join": f"with {_PAIRS} select a.choice_id, b.choice_id as tight_id from n a join n b on replace(a.choice, ' ', '') = replace(b.choice, ' ', '')",
+        "reading_paths": f"select distinct '茶道具' || translate(upper(n_name), '{_LATIN}', '{_KATA}') as text, 'チャドーグ' || translate(upper(n_name), '{_LATIN}', '{_KATA}') as reading from nation",
+        "romaji_spellings": f"with recursive p as (select n_nationkey, translate(upper(n_name), '{_LATIN}', '{_KATA}') as r from nation), rd as (select distinct r as t, r as reading from p), {readings.SPELLINGS} select n_nationkey, s as spelling from p join sp on sp.t = p.r",
     } | readings.oracles(_OSA)

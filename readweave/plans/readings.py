@@ -282,13 +282,13 @@ def _lexicon(words: dict[str, list[str]]) -> str:
 
 
 #: Readings (t, reading) of the texts in t(t), by all segmentations into surfaces, or runs of kana as they are
-_READINGS = """seg(t, pos, reading) as (select t, 0, '' from t union select t, pos + length(surface), seg.reading || lex.reading
+READINGS = """seg(t, pos, reading) as (select t, 0, '' from t union select t, pos + length(surface), seg.reading || lex.reading
   from seg join (select * from lex union select distinct unnest(regexp_extract_all(t, '[ぁ-ゖァ-ヶー]+')) as surface, surface as reading from t) lex on substr(t, pos + 1, length(surface)) = surface
     and (pos = 0 or not regexp_matches(surface, '^[ぁ-ゖァ-ヶー]') or not regexp_matches(substr(t, pos, 1), '[ぁ-ゖァ-ヶー]'))
     and (not regexp_matches(surface, '[ぁ-ゖァ-ヶー]$') or not regexp_matches(substr(t, pos + length(surface) + 1, 1), '[ぁ-ゖァ-ヶー]')) where pos < length(t)),
 rd as (select distinct t, reading from seg where pos = length(t) and t <> '')"""
 #: All spellings sp(t, s) of the texts in rd(t, reading), unit by unit, by the last vowel for long-vowel marks
-_SPELLINGS = f"""u(kana, s) as {_values((k, s) for k, some in romaji.VARIANTS.items() if k not in 'っー' for s in some)},
+SPELLINGS = f"""u(kana, s) as {_values((k, s) for k, some in romaji.VARIANTS.items() if k not in 'っー' for s in some)},
 lv(vowel, s) as {_values((v, s) for v, some in romaji.LONG.items() for s in some)},
 kn as (select distinct reading, translate(reading, '{"".join(map(chr, range(0x30A1, 0x30F7)))}', '{"".join(map(chr, range(0x3041, 0x3097)))}') as k from rd),
 tok(k, i, pos, unit) as (select distinct k, 0, 0, '' from kn union all
@@ -306,11 +306,11 @@ sp as (select distinct t, s from rd join kn using (reading) join w using (k) joi
 
 def _ja(source: str, texts: str = "select l as t from p union select r from p") -> str:
     """p: the pairs; rd, sp: readings and spellings of all texts. Latin text is read as it is."""
-    return f"with recursive p as {source}, t as (select distinct t from ({texts})), {_lexicon(JA)}, {_READINGS}, {_SPELLINGS}, sx as (select * from sp union select t, t from t where regexp_matches(t, '^[ -~]*$'))"
+    return f"with recursive p as {source}, t as (select distinct t from ({texts})), {_lexicon(JA)}, {READINGS}, {SPELLINGS}, sx as (select * from sp union select t, t from t where regexp_matches(t, '^[ -~]*$'))"
 
 
 def _zh(source: str, texts: str = "select l as t from p union select r from p") -> str:
-    return f"with recursive p as {source}, t as (select distinct t from ({texts})), {_lexicon(ZH)}, {_READINGS}, sx as (select t, reading as s from rd union select t, t from t where regexp_matches(t, '^[ -~]*$'))"
+    return f"with recursive p as {source}, t as (select distinct t from ({texts})), {_lexicon(ZH)}, {READINGS}, sx as (select t, reading as s from rd union select t, t from t where regexp_matches(t, '^[ -~]*$'))"
 
 
 _WIDE = "".join(sorted(set(NUMERALS + "".join(KANA) + "ふみ")))
@@ -390,7 +390,7 @@ def oracles(osa: str) -> dict[str, str]:
         "ja_partial_distance": f"{_spans(NEEDLES, 'ja', _LEV)} {span.format('score', 'min(score)').replace('0::int as src_start', 'case when m is not null then 0::int end as src_start')}",
         "ja_partial_ratio": f"{_spans(NEEDLES, 'ja', _SIM)} {span.format('-score', 'max(score)').replace('0::int as src_start', 'case when m is not null then 0::int end as src_start')}",
         "ja_alignment": f"{_best(_ja(typed), _LEV)} select id, score as distance, score as edits, r as right_path from g",
-        "ja_overrides": f"with recursive p as {custom}, ov(t, reading) as {override}, rd as (select * from ov union select t, t from (select l as t from p union select r from p) where t not in (select t from ov)), {_SPELLINGS}, g as (select id, l, r, min(levenshtein(a.s, b.s))::int as lattice from p join sp a on a.t = l join sp b on b.t = r group by all) select id, {_surface('l', 'r')} as surface_levenshtein, lattice from g",
+        "ja_overrides": f"with recursive p as {custom}, ov(t, reading) as {override}, rd as (select * from ov union select t, t from (select l as t from p union select r from p) where t not in (select t from ov)), {SPELLINGS}, g as (select id, l, r, min(levenshtein(a.s, b.s))::int as lattice from p join sp a on a.t = l join sp b on b.t = r group by all) select id, {_surface('l', 'r')} as surface_levenshtein, lattice from g",
         "zh_typed_distance": f"{_best(pinyin_zh, _LEV)} {ids}",
         "zh_typed_ratio": f"{_best(pinyin_zh, _SIM)} {ids}",
         "zh_typed_compare": f"{small_zh} {five}",
@@ -399,7 +399,7 @@ def oracles(osa: str) -> dict[str, str]:
         "zh_partial_ratio": f"{_spans(['sanwu', 'yaoba', 'qi'], 'zh', _SIM)} select p.query_id, p.id, coalesce(m, 0.0::double) as score from p left join (select query_id, id, max(alike) as m from z group by 1, 2) using (query_id, id)",
         "numeral_readings": f"with recursive p as {kanji}, t as (select distinct l as t from p), {_lexicon(JA)}, {suffix}, {rest}, n as (select t, i, count(*) as n from rest group by 1, 2), c as (select m.t, count(distinct (m.i, m.n)) as spans, count(*) as raw, sum(n.n)::bigint as combinations from m join n on n.t = m.t and n.i = m.i + m.n group by 1), k as (select t, count(*) as paths from rest where i < length(t) group by 1) select t as text, string_agg(reading, ',' order by reading) as readings, any_value(spans)::bigint as matched_spans, any_value(raw)::bigint as raw_segment_readings, any_value(raw)::bigint as used_segment_readings, any_value(combinations)::bigint as candidate_combinations, any_value(paths)::bigint as unique_paths, (any_value(combinations) - any_value(paths))::bigint as duplicate_joined_readings from rest join c using (t) join k using (t) where i = 0 group by 1",
         "numeral_readings_longest": f"with recursive p as {kanji}, t as (select distinct l as t from p), {_lexicon(JA)}, {suffix}, best as (select t, i, max(n) as n from m group by 1, 2), {rest.replace('join m on', 'join (select m.* from m join best using (t, i, n)) m on')} select t as text, string_agg(reading, ',' order by reading) as readings, count(*)::int as n from rest where i = 0 group by 1",
-        "kana_spellings": f"with recursive p as {_rows(CUSTOMERS, 'kana')}, rd as (select distinct r as t, r as reading from p), {_SPELLINGS} select id, s as spelling from p join sp on sp.t = p.r",
+        "kana_spellings": f"with recursive p as {_rows(CUSTOMERS, 'kana')}, rd as (select distinct r as t, r as reading from p), {SPELLINGS} select id, s as spelling from p join sp on sp.t = p.r",
         "path_scores": f"with recursive {osa.format(l='x', r='y', source=words)}, k as (select id, osa.osa, greatest(0.0::double, 1.0::double - levenshtein(x, y)::double / greatest(length(x), length(y))) as sim from {way}, osa where osa.l = x and osa.r = y) select id, min(osa)::int as osa, 1.0::double - max(sim) as normalized, case when max(sim) >= 0.4::double then max(sim) else 0.0::double end as ratio, min(osa) <= 5 as near from k group by 1",
         "unidic_scan": f"with {entries} select surface, array_to_string((list_sort(list(distinct reading)))[:3], ',') as readings from f group by 1",
         "sudachi_scan": f"with {entries} select surface, array_to_string(list_sort(list(distinct reading)), ',') as readings from (select surface, reading from f union select '数', reading from e where id % 7 = 0) group by 1",
