@@ -356,3 +356,59 @@ def test_lattices_over_the_limit(spark, ja):
         score(df.withColumn("error", F.lit(1)), "l", "r", lang="ja", lexicon=ja)
     kept = score(df.withColumn("error", F.lit(1)), "l", "r", lang="ja", lexicon=ja, error_out="why")
     assert {"error", "why", "score"} <= set(kept.columns)
+
+
+@pytest.mark.parametrize("compression", ["gz", "zst"])
+def test_archives(spark, tmp_path, zh, compression):
+    """The same bundle gives the same bytes; what is installed is verified."""
+    if compression == "zst":
+        pytest.importorskip("zstandard")
+    from readweave.sources import archive as A
+
+    L.save_bundle(zh, str(tmp_path / "b"), lang="zh", name="whisky", view="no-tone")
+    one, two = (str(tmp_path / f"{n}.tar.{compression}") for n in ("one", "two"))
+    assert A.write_archive(str(tmp_path / "b"), one, name="whisky-1", compression=compression) == A.write_archive(str(tmp_path / "b"), two, name="whisky-1", compression=compression)
+    sums = A.checksums([two, one])
+    assert [x.split("  ")[1] for x in sums.splitlines()] == [f"one.tar.{compression}", f"two.tar.{compression}"]
+    root = str(tmp_path / "root")
+    (got,) = A.install(spark, one, root, sums=sums)
+    assert got.meta["name"] == "whisky" and {r["surface"]: r["readings"] for r in got.lexicon.collect()} == ZH
+    assert A.where(spark, root, "whisky") == A.where(spark, root, "whisky-1") and A.where(spark, root, "x") is None
+    for bad in (sums.replace(sums[:8], "0" * 8), "", sums.replace(sums[:8], "zzzzzzzz")):
+        with pytest.raises(L.LexiconError):
+            A.install(spark, one, str(tmp_path / "other"), sums=bad)
+    with pytest.raises(L.LexiconError, match="already"):
+        A.install(spark, two, root)
+    assert [m["name"] for _, m in L.list_bundles(spark, root)] == ["whisky"]
+
+
+def test_archives_that_lead_out(tmp_path):
+    import io
+    import tarfile
+
+    from readweave.sources import archive as A
+
+    def made(*members):
+        path = tmp_path / "x.tar.gz"
+        with tarfile.open(path, "w:gz") as tar:
+            for name, kind in members:
+                info = tarfile.TarInfo(name)
+                info.type = kind
+                info.size = 3 if kind == tarfile.REGTYPE else 0
+                info.linkname = "/etc/passwd"
+                tar.addfile(info, io.BytesIO(b"abc") if info.size else None)
+        return str(path)
+
+    into = str(tmp_path / "into")
+    for bad in ([("../a", tarfile.REGTYPE)], [("/a", tarfile.REGTYPE)], [("a/./b", tarfile.REGTYPE)], [("a", tarfile.SYMTYPE)], [("a", tarfile.LNKTYPE)], [("a", tarfile.FIFOTYPE)], [("a", tarfile.REGTYPE)] * 2):
+        with pytest.raises(L.LexiconError):
+            A.extract_archive(made(*bad), into)
+        assert not (tmp_path / "into").exists()
+    fine = made(("a", tarfile.DIRTYPE), ("a/b", tarfile.REGTYPE))
+    for limit in ({"max_files": 0}, {"max_bytes": 2}):
+        with pytest.raises(L.LexiconError):
+            A.extract_archive(fine, into, **limit)
+    assert A.extract_archive(fine, into) == ["a/b"] and (tmp_path / "into" / "a" / "b").read_bytes() == b"abc"
+    (tmp_path / "no.tar.gz").write_bytes(b"nothing")
+    with pytest.raises(L.LexiconError):
+        A.extract_archive(str(tmp_path / "no.tar.gz"), str(tmp_path / "into2"))
