@@ -29,12 +29,16 @@ def span_limit(query: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.greatest(2 * n, n + 4))
 
 
-def spans(query: Column, text: Column, limit: Column) -> Column:
-    """Structs (start, size) of all spans up to the limit; the empty one alone where query, text or limit is empty."""
-    n = F.char_length(text)
-    one = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("size"))
-    some = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(limit, n - s)), lambda k: one(s, k))))
-    return F.when((n > 0) & (F.char_length(query) > 0) & (limit > 0), some).otherwise(F.array(one(F.lit(0), F.lit(0))))
+def starts(query: Column, text: Column, limit: Column) -> Column:
+    """Where spans begin. The empty one alone counts where query, text or limit is empty."""
+    some = (F.char_length(text) > 0) & (F.char_length(query) > 0) & (limit > 0)
+    return F.when(some, F.sequence(F.lit(0), F.char_length(text) - 1)).otherwise(F.array(F.lit(0)))
+
+
+def sizes(query: Column, text: Column, limit: Column, start: Column) -> Column:
+    """The sizes of the spans from a start, up to the limit."""
+    some = (F.char_length(text) > 0) & (F.char_length(query) > 0) & (limit > 0)
+    return F.when(some, F.sequence(F.lit(1), F.least(limit, F.char_length(text) - start))).otherwise(F.array(F.lit(0)))
 
 
 def _aligned(best: Column, query: Column, metric: str, cutoff: int | float | None) -> Column:
@@ -61,12 +65,13 @@ def partial_alignment(df: DataFrame, query: str, text: str, metric: str = "ratio
     limit = F.lit(max_span_chars) if max_span_chars is not None else span_limit(q)
     if lang is None and lexicon is None:
 
-        def scored(x: Column) -> Column:
-            span = F.substring(t, x["start"] + 1, x["size"])
+        def scored(start: Column, size: Column) -> Column:
+            span = F.substring(t, start + 1, size)
             d = F.levenshtein(q, span)
-            return F.struct((d if metric == "distance" else -X.similarity_of(d, q, span)).alias("key"), x["size"].alias("size"), x["start"].alias("start"))
+            return F.struct((d if metric == "distance" else -X.similarity_of(d, q, span)).alias("key"), size.alias("size"), start.alias("start"))
 
-        best = F.array_min(F.transform(spans(q, t, limit), scored))
+        # the spans of one start at a time: memory follows the text, not the text times the limit
+        best = F.array_min(F.transform(starts(q, t, limit), lambda s: F.array_min(F.transform(sizes(q, t, limit, s), lambda k: scored(s, k)))))
         return df.withColumn(out, F.when(q.isNotNull() & t.isNotNull(), _aligned(best, q, metric, cutoff)))
 
     lang, words, options = resolve(lang, lexicon, options)
@@ -75,7 +80,10 @@ def partial_alignment(df: DataFrame, query: str, text: str, metric: str = "ratio
     asked = asked.withColumn("_paths", F.when(F.col("_q.paths_error").isNotNull(), F.raise_error(F.col("_q.paths_error")).cast("array<string>")).otherwise(F.col("_q.paths")))
     longest = F.array_max(F.transform("_paths", lambda p: F.char_length(p)))
     limit = F.lit(max_span_chars) if max_span_chars is not None else F.greatest(span_limit(F.col("_pq")), longest)
-    each = asked.select("_pq", "_pt", "_paths", F.explode(spans(F.col("_pq"), F.col("_pt"), limit)).alias("x")).select("_pq", "_pt", "_paths", "x.start", "x.size", F.substring(F.col("_pt"), F.col("x.start") + 1, F.col("x.size")).alias("span"))
+    each = asked.withColumn("_limit", limit)
+    of = (F.col("_pq"), F.col("_pt"), F.col("_limit"))
+    each = each.withColumn("start", F.explode(starts(*of))).withColumn("size", F.explode(sizes(*of, F.col("start"))))
+    each = each.select("_pq", "_pt", "_paths", "start", "size", F.substring(F.col("_pt"), F.col("start") + 1, F.col("size")).alias("span"))
     each = attach(each, "span", expand(each, words, lang, options, text="span", lattices=False), "_s")
     bad = F.col("_s.paths_error").isNotNull() & ~F.col("_s.unsupported")
     each = each.withColumn("_span_paths", F.when(bad, F.raise_error(F.col("_s.paths_error")).cast("array<string>")).otherwise(F.col("_s.paths"))).where("_span_paths is not null")
