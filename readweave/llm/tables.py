@@ -32,7 +32,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Arrow batches of at most `most` bytes (or one row) in this session, unless it sets a size of its own: a batch stands
     several times in the memory of an executor and its worker."""
-    if spark.conf.get(BATCH_BYTES, "") == "67108864b":  # Spark's own
+    if spark.conf.get(BATCH_BYTES, None) is None:
         spark.conf.set(BATCH_BYTES, str(most))
 
 
