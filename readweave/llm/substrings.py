@@ -19,8 +19,8 @@ from readweave.llm.tables import stash, table
 WINDOW = 20
 EDGE = 8
 NULL_ID = 2**63 - 1
-#: Tasks among which a chunk's spans are dealt to be verified
-SHARES = 8
+#: Spans of a source chunk that are verified at once, about
+SPANS = 500
 
 
 class Graph:
@@ -241,10 +241,12 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_
         return pa.table({**{k: asked[k] for k in origin}, "hash": pa.array(T.signed(h))})
 
     # many copies have one source span: its hash is taken once, and joined to them; a chunk that many have as their source
-    # is read by several tasks, each for some of its spans
+    # is read by several tasks, each for a bounded share of its spans
     parts = share(chunks)
-    asked = spans.select(*origin).distinct().withColumn("share", F.pmod(F.xxhash64("source_doc", "source_start"), F.lit(SHARES)).cast("int"))
-    dealt = chunks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    asked = spans.select(*origin).distinct()
+    shares = asked.groupBy("source_chunk").agg(F.ceil(F.count("*") / F.lit(SPANS)).cast("int").alias("shares"))
+    dealt = chunks.join(shares, chunks["chunk"] == shares["source_chunk"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select(*chunks.columns, "share")
+    asked = asked.join(shares, "source_chunk").withColumn("share", F.pmod(F.xxhash64("source_doc", "source_start"), F.col("shares")).cast("int")).select(*origin, "share")
     hashed = dealt.repartition(parts, "chunk", "share").groupBy("chunk", "share").cogroup(asked.repartition(parts, "source_chunk", "share").groupBy("source_chunk", "share")).applyInArrow(at_source, ", ".join(f"{k} long" for k in [*origin, "hash"]))
     checked = spans.join(hashed, origin).selectExpr("chunk", "doc", "start", f"size + {window - 1} as words", "hash")
 

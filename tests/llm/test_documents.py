@@ -287,8 +287,9 @@ def test_substrings_of_repeated_ids(spark):
 
 
 @pytest.mark.parametrize("chunk_bytes", [1, 300, 1200, 8_000_000])
-def test_substrings_by_chunks_of_any_size(spark, chunk_bytes):
+def test_substrings_by_chunks_of_any_size(spark, monkeypatch, chunk_bytes):
     """Repeated rows, windows that start again within a document, and long copies: the same whatever the chunks are."""
+    monkeypatch.setattr(substrings, "SPANS", 2)
     r = np.random.default_rng(1)
     some = [" ".join(f"w{x}" for x in r.integers(0, 500, 80)) for _ in range(6)]
     rows_ = [(1, some[0]), (2, some[1]), (3, some[2] + " " + some[1]), (4, some[3]), (5, some[0]), (5, some[0]), (6, some[4] + " x " + some[4]), (7, some[1] + " " + some[0]), (7, None), (8, "")]
