@@ -9,9 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from readweave.functions.kernels import DISTANCE_CELLS, Lattice, edit_batch, lattice_distance, lattice_trace, path_keys, share_path
+from readweave.functions.kernels import DISTANCE_CELLS, STRING_CELLS, Lattice, Levels, Strings, edit_batch, lattice_distance, lattice_similarity, lattice_trace, path_keys, share_path
 from readweave.functions.text import Text, _c, apply_cutoff, check_cutoff, similarity_of
 
 
@@ -83,6 +83,67 @@ def lattice_osa(left: pd.Series, right: pd.Series, most: pd.Series) -> pd.Series
     return _lattices(left, right, most, True)
 
 
+#: Strings for each pair, up to which lattices are written out to be compared with others all at once
+STRINGS = 512
+
+
+def lattice_scores(left: list, right: list, similarity: bool) -> list:
+    """Scores of pairs of packed lattices, null where one is. Pairs are sorted by a lattice of the side with more different
+    ones: where several meet the same, their strings go through it together, and other pairs are searched one by one."""
+    out: list = [None] * len(left)
+    rows = [i for i, (a, b) in enumerate(zip(left, right)) if a is not None and b is not None]
+    if len({left[i] for i in rows}) > len({right[i] for i in rows}):
+        left, right = right, left
+    lattices: dict[str, Lattice] = {}
+    levels: dict[str, Levels] = {}
+    written: dict[str, list[str] | None] = {}
+    strings: dict[tuple[str, ...], Strings | None] = {}
+    groups: dict[str, list[int]] = {}
+    for i in rows:
+        groups.setdefault(right[i], []).append(i)
+
+    def lattice(x: str) -> Lattice:
+        if x not in lattices:
+            lattices[x] = Lattice.unpack(x)
+        return lattices[x]
+
+    def leveled(x: str) -> Levels:
+        if x not in levels:
+            levels[x] = Levels(lattice(x), similarity)
+        return levels[x]
+
+    for b, some in groups.items():
+        ask = tuple(dict.fromkeys(left[i] for i in some))
+        if ask not in strings:
+            for a in ask:
+                if a not in written:
+                    written[a] = lattice(a).paths(STRINGS)
+            sets = [written[a] for a in ask]
+            strings[ask] = Strings(sets) if len(ask) > 1 and all(sets) else None
+        many = strings[ask]
+        if many is not None and many.cells(leveled(b)) <= STRING_CELLS:
+            found = dict(zip(ask, many.best(leveled(b), similarity).tolist()))
+        elif similarity:
+            found = {a: lattice_similarity(leveled(a), leveled(b)) for a in ask}
+        else:
+            found = {a: lattice_distance(lattice(a), lattice(b)) for a in ask}
+        for i in some:
+            out[i] = found[left[i]]
+    return out
+
+
+@F.pandas_udf(IntegerType())
+def lattice_least(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Distances of packed lattices, of which many meet the same."""
+    return pd.Series(pd.array(lattice_scores(left.tolist(), right.tolist(), False), "Int32"))
+
+
+@F.pandas_udf(DoubleType())
+def lattice_alike(left: pd.Series, right: pd.Series) -> pd.Series:
+    """The largest normalized similarity of paths of packed lattices."""
+    return pd.Series(lattice_scores(left.tolist(), right.tolist(), True), dtype="float64")
+
+
 def over_cells(left: Column, right: Column, most: int = DISTANCE_CELLS) -> Column:
     """Whether two packed lattices have more node pairs than a kernel takes; false where one is null."""
     nodes = lambda x: F.substring_index(x, " ", 1).cast("long")

@@ -12,14 +12,16 @@ from readweave.functions import paths as P
 from readweave.functions import readings as R
 from readweave.functions import text as X
 from readweave.functions import scripts
-from readweave.functions.kernels import LatticeError
+from readweave.functions.kernels import Lattice, LatticeError
 from readweave.functions.readings import Options
 from readweave.functions.romaji import OverLimit, ReadingError, Unsupported
 
 #: Lattices with this many strings at most are also written out
 WRITTEN = 512
+#: Characters of written spellings up to which they are also packed as their smallest lattice
+PACKED_CHARS = 1_000_000
 
-EXPANSION = "lattice string, lattice_paths array<string>, paths array<string>, error string, paths_error string, unsupported boolean"
+EXPANSION = "lattice string, lattice_paths array<string>, paths array<string>, packed string, error string, paths_error string, unsupported boolean"
 _PATH = "array<struct<joined_reading:string,segments:array<struct<surface:string,reading:string,source:string>>>>"
 
 
@@ -54,9 +56,17 @@ def _finder(hits) -> R.Find:
     return lambda s: found[s][1] if s in found else None
 
 
-def expand(texts: DataFrame, lexicon: DataFrame, lang: str, options: Options, *, text: str = "text", lattices: bool = True, paths: bool = True) -> DataFrame:
+def smallest(paths: list[str] | None) -> str | None:
+    """The packed minimal lattice of written paths, where they have one and don't have very many characters."""
+    if not paths or ("" in paths and len(set(paths)) > 1) or sum(map(len, paths)) > PACKED_CHARS:
+        return None
+    return Lattice.of_paths(paths).pack()
+
+
+def expand(texts: DataFrame, lexicon: DataFrame, lang: str, options: Options, *, text: str = "text", lattices: bool = True, paths: bool = True, packed: bool = False) -> DataFrame:
     """One row for each distinct text: its packed lattice, the lattice's strings (null where there are many), the written
-    paths, and errors. `unsupported` tells texts that have characters beyond reach from those over a limit. Lattices or
+    paths, and errors. With `packed` also the smallest lattice of the strings, or else of the paths (null where they have
+    very many characters). `unsupported` tells texts that have characters beyond reach from those over a limit. Lattices or
     paths that aren't asked for are null and not computed."""
     want_lattices, want_paths = lattices, paths
     distinct = texts.select(F.col(text).alias("text")).where("text is not null").distinct()
@@ -84,8 +94,8 @@ def expand(texts: DataFrame, lexicon: DataFrame, lang: str, options: Options, *,
                         paths_error, unsupported = error, True
                 except ReadingError as e:
                     paths_error, unsupported = str(e), isinstance(e, Unsupported) and not isinstance(e, OverLimit)
-                rows.append((t, lattice, strings, paths, error, paths_error, unsupported))
-            yield pd.DataFrame(rows, columns=["text", "lattice", "lattice_paths", "paths", "error", "paths_error", "unsupported"])
+                rows.append((t, lattice, strings, paths, smallest(strings if want_lattices else paths) if packed else None, error, paths_error, unsupported))
+            yield pd.DataFrame(rows, columns=["text", "lattice", "lattice_paths", "paths", "packed", "error", "paths_error", "unsupported"])
 
     # looking up and spelling out texts take far longer than their few bytes tell an adaptive plan, which would join the
     # partitions

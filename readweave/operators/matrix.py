@@ -17,8 +17,9 @@ def cdist(queries: DataFrame, choices: DataFrame, query: str = "query", choice:
     rows. Columns of the choices whose names the queries have too get `_choice` behind them, and the query's and the
     choice's own columns must differ in name (a column of the queries that is named like the choice gets `_query`).
 
-    With readings, each distinct text is expanded once, before the product. Catalyst broadcasts the smaller side where its
-    size is known to be small, and otherwise deals out a Cartesian product of partitions.
+    With readings, each distinct text of a side is expanded once, before the product, and each pair of distinct texts is
+    scored once, whatever number of rows has them. Catalyst broadcasts the smaller side where its size is known to be small,
+    and otherwise deals out a Cartesian product of partitions.
     """
     X.check_metric(metric)
     X.check_cutoff(score_cutoff, metric)
@@ -34,14 +35,41 @@ def cdist(queries: DataFrame, choices: DataFrame, query: str = "query", choice:
     if lang is None and lexicon is None:
         return queries.crossJoin(choices).withColumn("score", X.plain(metric)(query, choice, score_cutoff))
     lang, words, options = resolve(lang, lexicon, options)
-    texts = queries.select(F.col(query).alias("text")).union(choices.select(F.col(choice)))
-    e = expand(texts, words, lang, options, **needed(metric))
-    a, b = unused(queries, "_r0", "_r1")
-    pairs = attach(queries, query, e, a).crossJoin(attach(choices, choice, e, b))
+    a, b, rows_a, rows_b = unused(queries.crossJoin(choices), "_r0", "_r1", "_rows0", "_rows1")
+    asked, offered = by_text(queries, query, rows_a), by_text(choices, choice, rows_b)
+    how = needed(metric) | {"packed": metric not in X.DISTANCES or metric == "distance"}
+    asked = attach(asked, query, expand(queries, words, lang, options, text=query, **how), a)
+    offered = attach(offered, choice, expand(choices, words, lang, options, text=choice, **how), b)
+    # choices are dealt out, since scores take far longer than their few bytes tell an adaptive plan; the pairs of a choice
+    # follow each other
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = offered.repartition(parts).crossJoin(asked)
     error = reading_error(a, b, metric)
     most = score_cutoff if metric in X.DISTANCES else None
-    value = X.apply_cutoff(reading_score(a, b, query, choice, metric, most), metric, score_cutoff)
-    return pairs.withColumn("score", checked_error(value, error, on_error)).withColumn("error", error).drop(a, b)
+    value = X.apply_cutoff(reading_score(a, b, query, choice, metric, most, PAIRS), metric, score_cutoff)
+    scored = pairs.select(query, choice, rows_a, rows_b, checked_error(value, error, on_error).alias("score"), error.alias("error"))
+    one = lambda c, own, rows: F.col(rows)[c].alias(c) if c != own else F.col(own)
+    scored = scored.withColumn(rows_a, F.explode(rows_a)).withColumn(rows_b, F.explode(rows_b))
+    return scored.select(*[one(c, query, rows_a) for c in queries.columns], *[one(c, choice, rows_b) for c in choices.columns], "score", "error")
+
+
+#: Path pairs over which pairs of a matrix go to the lattice kernel, which takes the many that meet one text together
+PAIRS = 4
+#: Rows of a text that stand together, about
+ROWS = 1000
+
+
+def by_text(df: DataFrame, text: str, rows: str) -> DataFrame:
+    """(text, rows): each distinct text with its rows as an array of structs of the other columns. Of a text that many rows
+    have, shares of about a thousand stand in rows of their own; rows that are alike stay together."""
+    others = [c for c in df.columns if c != text]
+    packed = df.select(F.col(f"`{text}`"), F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias(unused(df, "_")[0])).alias(rows))
+    size, share = unused(packed, "_size", "_share")
+    hashed = [F.col(rows)[f.name] for f in df.schema if f.name != text and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    sizes = packed.groupBy(text).agg(F.count(F.lit(1)).alias(size)).where(F.col(size) > ROWS).withColumnRenamed(text, f"{size}_text")
+    dealt = packed.join(sizes, packed[text].eqNullSafe(sizes[f"{size}_text"]), "left")
+    dealt = dealt.withColumn(share, F.pmod(F.xxhash64(*hashed, F.lit(0)), F.ceil(F.coalesce(F.col(size), F.lit(1)) / F.lit(ROWS))))
+    return dealt.groupBy(text, share).agg(F.collect_list(rows).alias(rows)).select(text, rows)
 
 
 #: Strings up to this length meet by their spellings with deletions, for up to this many edits

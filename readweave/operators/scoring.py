@@ -34,30 +34,55 @@ def few_pairs(a: Column, b: Column) -> Column:
     return F.coalesce(written & (few | a["lattice"].isNull() | b["lattice"].isNull()), F.lit(False))
 
 
-def lattice_score(left: str, right: str, transpose: bool = False, most: int | None = None) -> Column:
+#: Path pairs over which similarities of one pair of texts go to the lattice kernel
+ALIKE_PAIRS = 64
+
+
+def kernel_pairs(left: str, right: str, metric: str, few: int) -> Column:
+    """Whether the lattice kernels take a pair of expansions: both have lattices that are small enough, and more than `few`
+    pairs of written paths, or too many paths to write them."""
+    a, b = (kernel_lattice(x, metric) for x in (left, right))
+    paths = "paths" if metric not in X.DISTANCES else "lattice_paths"
+    return F.coalesce(a.isNotNull() & b.isNotNull() & ~P.over_cells(a, b) & F.coalesce(F.size(F.col(left)[paths]) * F.size(F.col(right)[paths]) > few, F.lit(True)), F.lit(False))
+
+
+def kernel_lattice(name: str, metric: str) -> Column:
+    r = F.col(name)
+    return F.coalesce(r["packed"], r["lattice"]) if metric in X.DISTANCES else r["packed"]
+
+
+def lattice_score(left: str, right: str, transpose: bool = False, most: int | None = None, few: int | None = None) -> Column:
     """Least distance of the two lattices (struct columns of expansions). Sets that are written out and have few pairs are
     scored in the JVM, and only the rest goes to the lattice kernel; pairs beyond its limit are null. With `most`, searches
-    end there, and distances over it read most + 1."""
+    end there, and distances over it read most + 1. With `few`, sets of more than so many pairs (without transpositions) go
+    to the kernel that takes pairs of one text together, and `most` doesn't end it."""
     a, b = F.col(left), F.col(right)
     both = few_pairs(a, b)
+    if few is not None and not transpose:
+        some = kernel_pairs(left, right, "distance", few) & (both | ~P.over_cells(a["lattice"], b["lattice"]))
+        x, y = (kernel_lattice(c, "distance") for c in (left, right))
+        return F.when(some, P.lattice_least(F.when(some, x), F.when(some, y))).when(both, P.least_distance(a["lattice_paths"], b["lattice_paths"], most))
     large = ~both & a["lattice"].isNotNull() & b["lattice"].isNotNull() & ~P.over_cells(a["lattice"], b["lattice"])
     kernel = (P.lattice_osa if transpose else P.lattice_levenshtein)(F.when(large, a["lattice"]), F.when(large, b["lattice"]), F.lit(most).cast("int"))
     small = P.osa_sets(F.when(both, a["lattice_paths"]), F.when(both, b["lattice_paths"])) if transpose else P.least_distance(a["lattice_paths"], b["lattice_paths"], most)
     return F.when(both, small).otherwise(kernel)
 
 
-def reading_score(left: str, right: str, left_text: str, right_text: str, metric: str, most: int | None = None) -> Column:
-    """A metric of two expansions, before cutoffs; distances over `most` may read anything over it."""
+def reading_score(left: str, right: str, left_text: str, right_text: str, metric: str, most: int | None = None, few: int | None = None) -> Column:
+    """A metric of two expansions, before cutoffs; distances over `most` may read anything over it. Pairs with more than
+    `few` path pairs go to the kernel that takes pairs of one text together; similarities always do, over a bound."""
     if metric == "distance":
-        return lattice_score(left, right, most=most)
+        return lattice_score(left, right, most=most, few=few)
     if metric == "damerau_distance":
         return lattice_score(left, right, transpose=True, most=most)
     if metric == "combined_distance":
         lped = lattice_score(left, right, most=most)
         return F.when(lped.isNotNull(), F.least(X.osa(left_text, right_text), lped))
     # the largest over path pairs; an impossible pair counts 0
+    some = kernel_pairs(left, right, metric, ALIKE_PAIRS if few is None else few)
+    a, b = kernel_lattice(left, metric), kernel_lattice(right, metric)
     best = F.greatest(F.lit(0.0), P.best_similarity(F.col(left)["paths"], F.col(right)["paths"]))
-    best = F.when(F.col(left)["paths"].isNotNull() & F.col(right)["paths"].isNotNull(), best)
+    best = F.when(some, P.lattice_alike(F.when(some, a), F.when(some, b))).when(F.col(left)["paths"].isNotNull() & F.col(right)["paths"].isNotNull(), best)
     return 1.0 - best if metric == "normalized_distance" else best
 
 

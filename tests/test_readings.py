@@ -1,9 +1,13 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from readweave.functions import readings as R
 from readweave.functions import kernels, romaji, scripts
+from readweave.functions import paths as P
 from readweave.functions.readings import Options
+from readweave.operators import matrix
 from readweave.operators.expand import reading_paths, with_overrides
 from readweave.operators.extract import extract
 from readweave.operators.matrix import cdist
@@ -412,3 +416,41 @@ def test_archives_that_lead_out(tmp_path):
     (tmp_path / "no.tar.gz").write_bytes(b"nothing")
     with pytest.raises(L.LexiconError):
         A.extract_archive(str(tmp_path / "no.tar.gz"), str(tmp_path / "into2"))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_matrix_scores_each_pair_of_texts_once(spark, monkeypatch):
+    """Rows with the same text are scored once, in shares where a text has many; the kernel takes those of a choice together."""
+    monkeypatch.setattr(matrix, "ROWS", 3)
+    lex = L.from_entries(spark, {"一": ["イチ", "ヒト"], "七": ["ナナ", "シチ"]})
+    texts = ["一七一", "七七", "一七一", "七七", None, "未", "一七一", "一七一", "一七一"]
+    q = spark.createDataFrame([(0, "sichi", {"a": 1}), (1, "sichi", None), (2, "hitonana", None), (3, None, None)], "query_id long, query string, note map<string,int>")
+    c = spark.createDataFrame(list(enumerate(texts)), "choice_id long, choice string")
+    find = {"一": ["イチ", "ヒト"], "七": ["ナナ", "シチ"]}.get
+    made = cdist(q, c, metric="ratio", lang="ja", lexicon=lex)
+    assert "_rows0" in plan_of(made) and made.columns == ["query_id", "query", "note", "choice_id", "choice", "score", "error"]
+    rows = made.collect()
+    assert sorted((r["query_id"], r["choice_id"]) for r in rows) == [(i, j) for i in range(4) for j in range(len(texts))]
+    assert {r["query_id"] for r in rows if r["note"] == {"a": 1}} == {0}
+    for r in rows:
+        assert r["choice"] == texts[r["choice_id"]]
+        want = None if None in (r["query"], r["choice"]) or r["choice"] == "未" else kernels.best_similarity([r["query"]], R.ja_paths(r["choice"], find, Options()))
+        assert r["score"] == want and bool(r["error"]) == (r["choice"] == "未")
+
+
+def test_lattices_of_many_pairs():
+    rnd = random.Random(5)
+    sets = [sorted({"".join(rnd.choices("abc", k=rnd.randrange(1, 7))) for _ in range(rnd.randrange(1, 6))}) for _ in range(40)] + [[""]]
+    packed = [kernels.Lattice.of_paths(s).pack() for s in sets]
+    for few in (1, 3, len(sets)):  # pairs of one lattice alone are searched, several go through it together
+        at = [(i, j) for i in range(len(sets)) for j in rnd.sample(range(len(sets)), few)]
+        some = [(sets[i], sets[j]) for i, j in at]
+        left, right = [packed[i] for i, _ in at], [packed[j] for _, j in at]
+        assert P.lattice_scores(left, right, True) == [kernels.best_similarity(a, b) for a, b in some]
+        assert P.lattice_scores(left, right, False) == [int(kernels.edit_batch([x for x in a for _ in b], [y for _ in a for y in b], False).min()) for a, b in some]
+    assert P.lattice_scores([None, packed[0]], [packed[0], None], True) == [None, None]
+    long = [kernels.Lattice.of_paths(["ab" * 900 + x]).pack() for x in "cd"]
+    assert P.lattice_scores([long[0]] * 2, long, True) == [1.0, 1 - 1 / 1801]
