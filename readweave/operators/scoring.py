@@ -114,7 +114,7 @@ def with_readings(df: DataFrame, columns: list[str], lang: str, lexicon: DataFra
 
 def needed(metric: str) -> dict[str, bool]:
     """What a metric takes of expansions: distances go by lattices, similarities by written paths."""
-    return {"lattices": metric in X.DISTANCES, "paths": metric not in X.DISTANCES}
+    return {"lattices": metric in X.DISTANCES, "paths": metric not in X.DISTANCES, "packed": metric not in X.DISTANCES}
 
 
 def new_columns(df: DataFrame, *names: str) -> None:

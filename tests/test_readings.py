@@ -454,3 +454,14 @@ def test_lattices_of_many_pairs():
     assert P.lattice_scores([None, packed[0]], [packed[0], None], True) == [None, None]
     long = [kernels.Lattice.of_paths(["ab" * 900 + x]).pack() for x in "cd"]
     assert P.lattice_scores([long[0]] * 2, long, True) == [1.0, 1 - 1 / 1801]
+
+
+def test_similarity_of_many_spellings_is_searched(spark):
+    """Not all pairs of spellings, of which these texts have over 500,000."""
+    lex, text = L.from_entries(spark, {}), "シチジュッツシ"
+    df = spark.createDataFrame([(text, text + "ン"), ("し", "ち")], "l string, r string")
+    made = score(df, "l", "r", "ratio", lang="ja", lexicon=lex)
+    assert "lattice_alike" in plan_of(made)
+    pairs = [[R.ja_paths(t, lambda _: None, Options()) for t in some] for some in (("し", "ち"), (text, text + "ン"))]
+    assert len(pairs[1][0]) * len(pairs[1][1]) > 500_000
+    assert [r["score"] for r in made.orderBy("l").collect()] == [kernels.best_similarity(a, b) for a, b in pairs]
