@@ -465,3 +465,13 @@ def test_similarity_of_many_spellings_is_searched(spark):
     pairs = [[R.ja_paths(t, lambda _: None, Options()) for t in some] for some in (("し", "ち"), (text, text + "ン"))]
     assert len(pairs[1][0]) * len(pairs[1][1]) > 500_000
     assert [r["score"] for r in made.orderBy("l").collect()] == [kernels.best_similarity(a, b) for a, b in pairs]
+
+
+def test_extract_scores_pairs_once(spark, ja):
+    q = spark.createDataFrame([(0, "いんさt"), (1, "未"), (2, "abc")], "query_id long, query string")
+    c = spark.createDataFrame([(0, "abc"), (1, "印刷"), (2, "未"), (3, "印刷")], "choice_id long, choice string")
+    made = extract(q, c, lang="ja", lexicon=ja, options=JA_OPTIONS, score_cutoff=1)
+    assert plan_of(made).count("ArrowEvalPython") == 1
+    assert sorted((r["query_id"], r["rank"], r["choice_id"]) for r in made.collect()) == [(0, 1, 1), (0, 2, 3), (2, 1, 0)]
+    all_ranks = extract(q, c, lang="ja", lexicon=ja, options=JA_OPTIONS, limit=None).collect()
+    assert sorted((r["query_id"], r["choice_id"]) for r in all_ranks) == [(0, 0), (0, 1), (0, 3), (2, 0), (2, 1), (2, 3)]
